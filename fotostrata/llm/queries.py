@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fotostrata.llm.history import deduplicate
 from fotostrata.llm.packing import pack_documents
 from fotostrata.llm.tokens import decode_corpus, encode_corpus, token_counts
 from fotostrata.session import materialise, one_per_id, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """accepted_op_id, op_id: operations of new batches whose file came before, with the first operation of that file."""
+    ops = one_per_id(table(spark, sf_dir, "file_operations"), "op_id", "batch_id", "source", "content_hash")
+    groups = table(spark, sf_dir, "duplicate_groups").select("content_hash", "original", "duplicates")
+    return deduplicate(ops, table(spark, sf_dir, "import_batches"), groups)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids: every document by byte_bpe_50k without special tokens."""
     return encode_corpus(table(spark, sf_dir, "documents"))
@@ -42,5 +50,5 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_sheets": p8_sheets, "p8_fill": p8_fill}
+QUERIES = {"p1_found": p1_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_sheets": p8_sheets, "p8_fill": p8_fill}
 ORACLES = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
