@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fotostrata.llm.canonical import map_to_canonical
+from fotostrata.llm.garbled import restore_garbled
 from fotostrata.llm.history import deduplicate
 from fotostrata.llm.packing import pack_documents
 from fotostrata.llm.tokens import decode_corpus, encode_corpus, token_counts
@@ -18,6 +20,29 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(ops, table(spark, sf_dir, "import_batches"), groups)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """field, record_id, place_id: the canonical place each odd city, country and state means, -1 if none."""
+    rules = table(spark, sf_dir, "correction_rules")
+    places = table(spark, sf_dir, "reverse_geocoded_locations")
+
+    def values(df: DataFrame, key: str, column: str) -> DataFrame:
+        given = one_per_id(df.where(F.col(column).isNotNull()), key, column)
+        return given.select(F.lit(column).alias("field"), F.col(key).alias("record_id"), F.col(column).alias("value"))
+
+    given = values(rules, "rule_id", "city").unionByName(values(rules, "rule_id", "country")).unionByName(values(places, "location_id", "state"))
+    return map_to_canonical(given, table(spark, sf_dir, "place_names"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_table, record_id, restored: every garbled title, caption or event name, and its original."""
+    rules = one_per_id(table(spark, sf_dir, "correction_rules").where("event_name is not null"), "rule_id", "event_name")
+    prov = one_per_id(table(spark, sf_dir, "metadata_provenance").where("raw_value is not null"), "prov_id", "raw_value")
+    given = rules.select(F.lit("correction_rules").alias("source_table"), F.col("rule_id").alias("record_id"), F.col("event_name").alias("value")).unionByName(
+        prov.select(F.lit("metadata_provenance").alias("source_table"), F.col("prov_id").alias("record_id"), F.col("raw_value").alias("value"))
+    )
+    return restore_garbled(given)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids: every document by byte_bpe_50k without special tokens."""
     return encode_corpus(table(spark, sf_dir, "documents"))
@@ -50,5 +75,5 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_sheets": p8_sheets, "p8_fill": p8_fill}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_sheets": p8_sheets, "p8_fill": p8_fill}
 ORACLES = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
