@@ -9,6 +9,7 @@ from fotostrata.llm.canonical import map_to_canonical
 from fotostrata.llm.garbled import restore_garbled
 from fotostrata.llm.history import deduplicate
 from fotostrata.llm.packing import pack_documents
+from fotostrata.llm.quality import STATS, judge_documents
 from fotostrata.llm.tokens import decode_corpus, encode_corpus, token_counts
 from fotostrata.session import materialise, one_per_id, table
 
@@ -75,5 +76,19 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_sheets": p8_sheets, "p8_fill": p8_fill}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, kind of every document that is no natural prose: list, table or junk."""
+    return judge_documents(table(spark, sf_dir, "documents")).where("kind is not null").select("doc_id", "kind")
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics, its squared distance from the prose of its language, and the statistic that contributes most."""
+    judged = judge_documents(table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(name) for name in STATS[1:]])
+    most = F.element_at(names, F.array_position("contributions", F.array_max("contributions")).cast("int"))
+    columns = [F.col("stats")[i].alias(name) for i, name in enumerate(STATS)]
+    return judged.select("doc_id", F.col("lang").alias("detected_lang"), *columns, "distance2", most.alias("most_unlike"), "kind")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_sheets": p8_sheets, "p8_fill": p8_fill, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLES = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
