@@ -16,7 +16,7 @@ from fotostrata.session import materialise, one_per_id, table
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """accepted_op_id, op_id: operations of new batches whose file came before, with the first operation of that file."""
-    ops = one_per_id(table(spark, sf_dir, "file_operations"), "op_id", "batch_id", "source", "content_hash")
+    ops = table(spark, sf_dir, "file_operations").select("op_id", "batch_id", "source", "content_hash")
     groups = table(spark, sf_dir, "duplicate_groups").select("content_hash", "original", "duplicates")
     return deduplicate(ops, table(spark, sf_dir, "import_batches"), groups)
 
