@@ -233,7 +233,7 @@ def correction_rules_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered rules over orders by priority and customer segment; per field the last value wins."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     files = orders.select("o_orderkey", F.concat_ws("/", "o_orderpriority", "o_orderkey").alias("relative"), F.col("o_orderkey").cast("string").alias("name"), F.lit("x").alias("make"), F.col("c_mktsegment").alias("model"))
-    got = rules.apply_rules(files, RULES).where("correction is not null")
+    got = rules.apply_rules(files, RULES, "metadata").where("correction is not null")
     return got.select("o_orderkey", *[F.col(f"correction.{k}").alias(k) for k in ("city", "state", "country", "event", "clock_offset", "priority")])
 
 
