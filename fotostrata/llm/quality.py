@@ -34,6 +34,7 @@ COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an war wie bei nach aus am vor unser meine obwohl bevor dieser jedes einem einer kam",
 }
 _COMMON = {k: frozenset(v.split()) for k, v in COMMON_WORDS.items()}
+_ANY_COMMON = frozenset().union(*_COMMON.values())
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _MARK = re.compile(r"^\s*(?:(?:\d{1,4}|[a-zA-Z]{1,2})[.)]|[-–—•*·▪◦‣+]|\[[ xX✓]?\]|[☐☑✓✗])\s+\S")
@@ -43,6 +44,14 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _HEX = re.compile(r"^[0-9a-fA-F]{2,8}$")
 _PATH = re.compile(r"^[^\s]*[/\\].*\.[A-Za-z0-9]{2,4}$")
 _FILE = re.compile(r"^[\w\-~ ()]*\.[A-Za-z0-9]{2,4}$")
+_ODD = re.compile(
+    r"[^\W\d_][^\w\s'’.\-–—/…()“”\"»«:,;!?&@#]+[^\W\d_]|[^\W\d_][.,;:!?|~]+[^\W\d_].*[^\W\d_]?|[^\W_]\d[^\W\d_]|�|^[^\w\s]{2,}$"
+)
+_PLAIN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*[.,;:!?…]?")
+_CASES = re.compile(r"[a-z][A-Z].*[a-z0-9][A-Z]")
+_STOP = re.compile(r"[.!?…]\s*$")
+_VOWELS = frozenset("aeiouyáàâãäéèêëíìîïóòôõöúùûü")
+_PUNCTUATION = frozenset(".,;:!?'\"()-–—“”‘’„«»…¿¡")
 _NUMBER = re.compile(r"^[\d.,:;/\-+%]+$")
 
 #: The statistics, in order. The first ones describe, all but the word count take part in the distance.
@@ -105,7 +114,7 @@ def _table_share(lines: list[str], text: str) -> float:
         if hits < 2 or mark == "," and any(", " in x for x in rows) and sum(", " in x for x in rows) > 0.3 * hits:
             continue
         words = sum(len(x.split()) for x in rows) / (hits * (number + 1))
-        stops = sum(bool(re.search(r"[.!?…]\s*$", x)) for x in rows)
+        stops = sum(bool(_STOP.search(x)) for x in rows)
         if words <= 3.5 and stops <= 0.3 * hits and (number > 1 or mark == "\t" or mark == "|" or hits >= 3):
             best = max(best, hits / len(lines))
     columns = Counter(len(re.split(r"\s{2,}", x.strip())) for x in lines)
@@ -124,21 +133,22 @@ def describe(text: str) -> tuple[str, list[int], list[float]]:
     raw_lines = [x for x in text.splitlines() if x.strip()]
     table = _table_share(raw_lines, text)
     lines = raw_lines if table > 0.5 else [x for x in _unwrap(text.splitlines()) if x.strip()]
-    words = [w.lower() for w in _WORD.findall(text)]
+    words = _WORD.findall(text.lower())
     tokens = text.split()
-    n, chars = len(words), max(1, sum(not c.isspace() for c in text))
+    n, seen = len(words), Counter(text)
+    chars = max(1, sum(k for c, k in seen.items() if not c.isspace()))
     counts = Counter(words)
     hits = {lang: sum(counts[w] for w in common if w in counts) for lang, common in _COMMON.items()}
     best = max(sorted(hits), key=lambda k: hits[k])
     # too few common words to tell: such a text is measured against the prose of all languages
     lang = best if hits[best] >= max(2, LEAST_COMMON * n) else ANY
     own = _COMMON[best]
-    foreign = sum(c for w, c in counts.items() if w not in own and len(w) > 1 and any(w in x for x in _COMMON.values()))
-    letters = sum(c.isalpha() for c in text)
-    latin = sum(c.isalpha() and ord(c) < 0x250 for c in text)
-    vowels = sum(c in "aeiouyáàâãäéèêëíìîïóòôõöúùûü" for c in text.lower())
-    symbols = sum(not c.isalnum() and not c.isspace() and c not in ".,;:!?'\"()-–—“”‘’„«»…¿¡" for c in text)
-    digits = sum(c.isdigit() for c in text)
+    foreign = sum(c for w, c in counts.items() if w in _ANY_COMMON and w not in own and len(w) > 1)
+    letters = sum(k for c, k in seen.items() if c.isalpha())
+    latin = sum(k for c, k in seen.items() if c.isalpha() and ord(c) < 0x250)
+    vowels = sum(k for c, k in seen.items() if c.lower() in _VOWELS)
+    symbols = sum(k for c, k in seen.items() if not c.isalnum() and not c.isspace() and c not in _PUNCTUATION)
+    digits = sum(k for c, k in seen.items() if c.isdigit())
     sentences = len(_SENTENCE.findall(text))
     parts = [p for p in re.split(r"[,;|•·]\s|\n|[.!?…]+\s", "\n".join(lines)) if p.strip()]
     part_words = sorted(len(p.split()) for p in parts)
@@ -149,11 +159,14 @@ def describe(text: str) -> tuple[str, list[int], list[float]]:
         bool(_PATH.match(x.strip())) or m or (len(x.split()) <= 10 and not _SENTENCE.search(x.rstrip(" :")) and len(lines) >= 3) for x, m in zip(lines, marked, strict=True)
     )
     # letters, digits and symbols mixed within a token, unless it is a file name, an email-like mark, a number or a time
-    odd = sum(bool(re.search(r"[^\W\d_][^\w\s'’.\-–—/…()“”\"»«:,;!?&@#]+[^\W\d_]|[^\W\d_][.,;:!?|~]+[^\W\d_].*[^\W\d_]?|[^\W_]\d[^\W\d_]|�|^[^\w\s]{2,}$", t)) and not _FILE.match(t.strip("().,;:…[]\"")) and not _PATH.match(t) for t in tokens)
-    longest = sum(len(t) > 30 and not _PATH.match(t) and not _TAG.search(t) and t[:1] != "#" for t in tokens)
-    numbers = sum(bool(_NUMBER.match(t)) or bool(_HEX.match(t)) and any(c.isdigit() for c in t) for t in tokens)
-    hashes = sum(t[0] == "#" and len(t) > 1 for t in tokens)
-    breaks = sum(bool(re.search(r"[a-z][A-Z].*[a-z0-9][A-Z]", t)) and t[:1] != "#" for t in tokens)
+    # each distinct token is looked at once, and most are plain words, which none of these can be
+    distinct = Counter(tokens)
+    rare = [(t, k) for t, k in distinct.items() if not _PLAIN.fullmatch(t) or len(t) > 30]
+    odd = sum(k for t, k in rare if _ODD.search(t) and not _FILE.match(t.strip("().,;:…[]\"")) and not _PATH.match(t))
+    longest = sum(k for t, k in rare if len(t) > 30 and not _PATH.match(t) and not _TAG.search(t) and t[:1] != "#")
+    numbers = sum(k for t, k in rare if _NUMBER.match(t) or _HEX.match(t) and any(c.isdigit() for c in t))
+    hashes = sum(k for t, k in rare if t[0] == "#" and len(t) > 1)
+    breaks = sum(k for t, k in distinct.items() if _CASES.search(t) and t[:1] != "#")
     common = max(counts.values(), default=0)
     few = max(1, n)
     stats = [
@@ -161,7 +174,7 @@ def describe(text: str) -> tuple[str, list[int], list[float]]:
         digits / chars, letters / chars, vowels / max(1, letters), common / few, len(counts) / few ** 0.7 if n else 0.0,
         math.log1p(n / max(1, sentences)), math.log1p(part_words[len(part_words) // 2] if part_words else 0), marks / max(1, len(lines)), items / max(1, len(lines)),
         table, odd / max(1, len(tokens)), longest / max(1, len(tokens)), numbers / max(1, len(tokens)), hashes / max(1, len(tokens)), latin / max(1, letters), breaks / max(1, len(tokens)),
-        sum(t in ("|", "<", ">", "©", "»", "«") for t in tokens) / max(1, len(tokens)),
+        sum(distinct[t] for t in ("|", "<", ">", "©", "»", "«")) / max(1, len(tokens)),
     ]
     return lang, [len(raw_lines), sentences, len(parts)], [float(x) for x in stats]
 
