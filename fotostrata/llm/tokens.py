@@ -27,6 +27,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The broadcast table: at most so many words of at most so many characters (some 10 MB at the very most).
 HOT_WORDS = 20_000
 HOT_CHARS = 64
+#: Bits of an id and of its place within a pre-token; pre-tokens of more ids are put together as lists.
+ID_BITS, SUB_BITS = 20, 12
 
 _encoders: dict[str, object] = {}
 
@@ -87,8 +89,22 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
     path = vocabulary or os.path.join(TOKENIZERS, VOCABULARY)
     docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).where(F.col(key).isNotNull())
     pieces = _with_ids(docs, key, text, path)
-    whole = pieces.groupBy("doc").agg(F.collect_list(F.struct("pos", "ids")).alias("parts"))
-    whole = whole.select(F.col("doc").alias(key), F.flatten(F.transform(F.array_sort("parts"), lambda p: p["ids"])).alias("ids"))
+    fits = F.size("ids") <= 1 << SUB_BITS
+    # one number holds where an id stands and which it is, so that putting a text together moves 8 bytes an id
+    at = F.shiftleft(F.shiftleft(F.col("pos").cast("long"), SUB_BITS).bitwiseOR(F.col("sub").cast("long")), ID_BITS).bitwiseOR(F.col("id").cast("long"))
+    none = F.lit(None).cast("struct<pos:int,sub:int,ids:array<int>>")
+    short = pieces.where(fits).select("doc", "pos", F.posexplode("ids").alias("sub", "id")).select("doc", at.alias("key"), none.alias("long_word"))
+    long = pieces.where(~fits).select("doc", F.lit(None).cast("long").alias("key"), F.struct("pos", F.lit(0).alias("sub"), "ids").alias("long_word"))
+    whole = short.unionByName(long).groupBy("doc").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.collect_list("long_word").alias("long_words"))
+    id_of = lambda k: k.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")
+    spread = F.transform(
+        "keys",
+        lambda k: F.struct(
+            F.shiftright(k, ID_BITS + SUB_BITS).cast("int").alias("pos"), F.shiftright(k, ID_BITS).bitwiseAND(F.lit((1 << SUB_BITS) - 1)).cast("int").alias("sub"), F.array(id_of(k)).alias("ids")
+        ),
+    )
+    merged = F.flatten(F.transform(F.array_sort(F.concat(spread, "long_words")), lambda p: p["ids"]))
+    whole = whole.select(F.col("doc").alias(key), F.when(F.size("long_words") == 0, F.transform("keys", id_of)).otherwise(merged).alias("ids"))
     bare = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(key, F.array().cast("array<int>").alias("ids"))
     return whole.unionByName(bare)
 
