@@ -63,6 +63,7 @@ STATS = [
 #: The language of texts with a smaller share of common words than this.
 ANY, LEAST_COMMON = "any", 0.12
 CONCENTRATION_STEPS = 3
+LEAST_DOCUMENTS = 100
 #: Documents within this quantile of the distances estimate the next mean and covariance.
 KEEP_QUANTILE = 0.75
 #: The squared distance per statistic beyond which a document is an outlier.
@@ -247,6 +248,10 @@ def fit_prose(stats: DataFrame) -> ProseModel:
     model = ProseModel(centre, {k: np.diag(1 / s**2) for k, s in scale.items()})
     for _ in range(CONCENTRATION_STEPS):
         model = _concentrate(stats, model, floor)
+    # a language of a few documents says nothing about its prose: they are measured against all languages
+    for r in rows:
+        if r["n"] < LEAST_DOCUMENTS and ANY in model.centre:
+            model.centre[r["lang"]], model.inverse[r["lang"]] = model.centre[ANY], model.inverse[ANY]
     return model
 
 
