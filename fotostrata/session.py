@@ -44,9 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def _own_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/fotostrata-{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the shared folder; nothing is created yet."""
+    return f"{_own_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def purge(spark: SparkSession) -> None:
+    """Removes everything this application wrote to the shared folder; results that still read it must be saved before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from fotostrata.session import build_session
+    from fotostrata.session import build_session, purge
 
     session = build_session(
         "tests", "local[4]", **{
@@ -17,4 +17,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    purge(session)
     session.stop()
