@@ -112,3 +112,25 @@ def health(files: DataFrame, gps: Column, conflict: Column, profile: Column) ->
     parts = {"gps": yes(gps), "timestamp": yes(~F.coalesce(conflict, F.lit(False))), "camera": yes(profile)}
     percent = lambda x: F.when(total > 0, F.bround(100.0 * x / total).cast("long"))
     return files.agg(total.alias("total"), *[x.alias(f"{k}_files") for k, x in parts.items()], *[percent(x).alias(f"{k}_percent") for k, x in parts.items()])
+
+
+def conflict_total(groups: DataFrame, plan: DataFrame, flags: str = "review_flags", date_conflict: str = "date_conflict") -> DataFrame:
+    """One row: duplicate groups, operations with a conflict of destination or date, and their sum."""
+    disputed = F.coalesce(F.array_contains(flags, "REVIEW_CONFLICT"), F.lit(False)) | F.coalesce(F.col(date_conflict), F.lit(False))
+    none = F.lit(0).cast("long")
+    counted = plan.agg(F.count_if(disputed).alias("conflict_operations")).withColumn("duplicate_groups", none)
+    both = groups.agg(F.count(F.lit(1)).alias("duplicate_groups")).withColumn("conflict_operations", none).unionByName(counted)
+    return both.agg(F.sum("duplicate_groups").alias("duplicate_groups"), F.sum("conflict_operations").alias("conflict_operations")).withColumn(
+        "conflicts", F.col("duplicate_groups") + F.col("conflict_operations")
+    )
+
+
+def outcome_of_log(line: Column) -> Column:
+    """Struct of a run's log line "[LEVEL] ACTION source -> destination (notes)"; parts that are missing are blank.
+
+    Runs here have typed outcomes; this reads logs written elsewhere.
+    """
+    shape = r"^\[(\w+)\]\s+(\S+)\s+(.*?)(?: -> (.*?))?(?: \((?:error: )?(.*)\))?$"
+    part = lambda k: F.coalesce(F.regexp_extract(line, shape, k), F.lit(""))
+    status = F.when(part(1) == "ERROR", "error").when(part(1) == "SKIP", "skipped").when(part(1).startswith("DRY"), "dry-run").otherwise("success")
+    return F.when(line.rlike(shape), F.struct(status.alias("status"), part(2).alias("action"), part(3).alias("source"), part(4).alias("destination"), part(5).alias("observations")))

@@ -528,3 +528,64 @@ def health_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT config_id, CASE WHEN event_window_minutes * 1000 < 1024 THEN CAST(event_window_minutes * 1000 AS VARCHAR) || ' B' WHEN event_window_minutes * 1000 < 1048576 THEN printf('%.1f KB', event_window_minutes * 1000 / 1024.0) ELSE printf('%.1f MB', event_window_minutes * 1000 / 1048576.0) END AS size FROM organization_configs""")
 def byte_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "organization_configs").select("config_id", text.byte_size(F.col("event_window_minutes") * 1000).alias("size"))
+
+
+@query(_OPS_SQL + """, g AS (SELECT count(*) AS n FROM (SELECT 1 FROM documents WHERE text IS NOT NULL GROUP BY sha256(text) HAVING count(*) > 1))
+SELECT any_value(g.n) AS duplicate_groups, count(*) FILTER (coalesce(f, false)) AS conflict_operations, any_value(g.n) + count(*) FILTER (coalesce(f, false)) AS conflicts FROM o, g""")
+def conflict_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate groups of documents and operations whose date is disputed (here: a fallback)."""
+    hashed = _hashed_documents(spark, sf_dir)
+    groups = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    plan = _ops(spark, sf_dir).select(F.array().cast("array<string>").alias("review_flags"), F.col("date_fallback").alias("date_conflict"))
+    return review.conflict_total(groups, plan)
+
+
+@query(r"""
+WITH f AS (SELECT op_id, lower(regexp_extract(regexp_extract(any_value(source), '([^/]*)/*$', 1), '^.+?(\.[^.]+)$', 1)) AS e FROM file_operations GROUP BY op_id),
+n AS (SELECT *, CASE WHEN e IN ('.jpg', '.jpeg') THEN 'JPEG' WHEN e = '.png' THEN 'PNG' WHEN e IN ('.tif', '.tiff') THEN 'TIFF' WHEN e = '.webp' THEN 'WEBP' WHEN e = '.bmp' THEN 'BMP' WHEN e IN ('.heic', '.heif', '.hif') THEN 'HEIF' ELSE '' END AS plain,
+ CASE WHEN e = '.dng' THEN 'Apple ProRAW' WHEN e IN ('.cr2', '.cr3', '.crw') THEN 'Canon RAW' WHEN e = '.nef' THEN 'Nikon RAW' WHEN e = '.arw' THEN 'Sony RAW' WHEN e = '.rw2' THEN 'Panasonic RAW' WHEN e = '.orf' THEN 'Olympus/OM System RAW' WHEN e = '.raf' THEN 'Fujifilm RAW' ELSE '' END AS raw FROM f)
+SELECT plain || raw AS format, raw AS raw_format, CASE WHEN e = '.dng' THEN 'Apple ProRAW / Linear DNG' ELSE '' END AS raw_flow, plain || raw <> '' AS supported, count(*) AS n_files FROM n GROUP BY 1, 2, 3, 4""")
+def format_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format, RAW format and flow of every operation's extension, and whether it is supported."""
+    ops = table(spark, sf_dir, "file_operations").select("op_id", "source").dropDuplicates(["op_id"])
+    e = F.col("ext")
+    looked = ops.select(paths.extension(F.col("source")).alias("ext")).select(paths.format_name(e).alias("format"), paths.raw_format(e).alias("raw_format"), paths.raw_flow(e).alias("raw_flow"), paths.is_supported(e).alias("supported"))
+    return looked.groupBy("format", "raw_format", "raw_flow", "supported").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query("""
+WITH l AS (SELECT location_id, any_value(city) AS c, any_value(state) AS s, any_value(country) AS k FROM reverse_geocoded_locations GROUP BY location_id)
+SELECT location_id, concat_ws(', ', nullif(c, ''), nullif(s, ''), nullif(k, '')) AS place FROM l""")
+def chosen_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "reverse_geocoded_locations").select("location_id", "city", "state", "country").dropDuplicates(["location_id"])
+    nowhere = F.lit(None).cast("struct<latitude:double,longitude:double>")
+    return rows.select("location_id", location.location_text(F.struct("city", "state", "country"), nowhere).alias("place"))
+
+
+@query("""
+WITH p AS (SELECT prov_id, any_value(source) AS source, any_value(confidence) AS confidence, any_value(raw_value) AS v FROM metadata_provenance GROUP BY prov_id)
+SELECT prov_id, CASE WHEN v IS NULL OR v = '' THEN 'missing' WHEN confidence = 'low' OR source IS NULL OR source NOT IN ('EXIF', 'XMP', 'IPTC-IIM', 'PNG metadata', 'Correction manifest') THEN 'inferred-or-fallback' ELSE 'real-metadata' END AS evidence FROM p""")
+def date_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How good the evidence of each provenance row is; low confidence stands for a fallback."""
+    rows = table(spark, sf_dir, "metadata_provenance").select("prov_id", "source", "confidence", "raw_value").dropDuplicates(["prov_id"])
+    status = F.when(F.coalesce("raw_value", F.lit("")) != "", "resolved").otherwise("missing")
+    return rows.select("prov_id", review.date_evidence(status, F.col("source"), F.col("confidence") == "low").alias("evidence"))
+
+
+@query(_OPS_SQL + """SELECT op_id, CASE WHEN s IN ('resolved', 'gps') AND c.latitude IS NOT NULL THEN 'real-gps' WHEN s = 'inferred' THEN 'inferred' WHEN s IN ('missing', 'missing-gps') OR s IS NULL THEN 'missing' ELSE s END AS evidence FROM o""")
+def location_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.col("location_status")
+    return _ops(spark, sf_dir).select("op_id", review.location_evidence(status, F.lit(None).cast("string"), F.col("coordinates.latitude")).alias("evidence"))
+
+
+@query("""
+WITH j AS (SELECT entry_id, any_value(status) AS status, any_value(action) AS action, any_value(source) AS source, any_value(destination) AS destination, any_value(error) AS error FROM journal_entries GROUP BY entry_id)
+SELECT entry_id, CASE WHEN status = 'error' THEN 'error' WHEN status = 'skipped' THEN 'skipped' ELSE 'success' END AS status, action, source, destination, 'note ' || entry_id AS observations FROM j
+WHERE action IS NOT NULL AND source IS NOT NULL AND destination IS NOT NULL AND destination <> '' AND status IS NOT NULL AND NOT contains(source, ' -> ') AND NOT contains(source, ' (')""")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journal entries written as log lines and read back."""
+    rows = table(spark, sf_dir, "journal_entries").dropDuplicates(["entry_id"]).where("action is not null and source is not null and destination <> '' and status is not null and not contains(source, ' -> ') and not contains(source, ' (')")
+    level = F.when(F.col("status") == "error", "ERROR").when(F.col("status") == "skipped", "SKIP").otherwise("INFO")
+    line = F.concat(F.lit("["), level, F.lit("] "), F.col("action"), F.lit(" "), F.col("source"), F.lit(" -> "), F.col("destination"), F.lit(" (note "), F.col("entry_id"), F.lit(")"))
+    read = review.outcome_of_log(line)
+    return rows.select("entry_id", *[read[k].alias(k) for k in ("status", "action", "source", "destination", "observations")])
