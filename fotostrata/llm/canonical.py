@@ -188,6 +188,7 @@ def map_to_canonical(values: DataFrame, places: DataFrame) -> DataFrame:
                 out.append(lists[kind].match(text))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=["field", "value", "n_rows", "place_id"])
 
-    spread = distinct.repartition(max(8, spark.sparkContext.defaultParallelism * 2), "field", "value")
+    # few bytes but much work a row: spread over all cores, which adaptive execution would undo for a partitioning by key
+    spread = distinct.repartition(max(8, spark.sparkContext.defaultParallelism * 2))
     mapped = materialise(spread.mapInArrow(run, "field string, value string, n_rows long, place_id long"), "mapped")
     return skewed_lookup(odd, mapped, ["field", "value"], "n_rows").select("field", "record_id", "place_id")
