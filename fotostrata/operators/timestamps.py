@@ -63,6 +63,7 @@ def clock_offset_seconds(text: Column) -> Column:
     plain = F.regexp_replace(text, r"^\s+|\s+$", "")
     sign = F.when(plain.startswith("-"), -1).otherwise(1)
     number = lambda shape, k: F.regexp_extract(plain, shape, k).try_cast("long")
+    # fixed values: the notations of clock offsets
     days, hours, clock = r"^[+-]?(\d{1,3})[dD]$", r"^[+-]?(\d{1,4})[hH]$", r"^[+-]?(\d{1,2})(?::?(\d{2}))?$"
     h, m = number(clock, 1), F.coalesce(number(clock, 2), F.lit(0))
     return (
