@@ -126,11 +126,27 @@ def conflict_total(groups: DataFrame, plan: DataFrame, flags: str = "review_flag
 
 
 def outcome_of_log(line: Column) -> Column:
-    """Struct of a run's log line "[LEVEL] ACTION source -> destination (notes)"; parts that are missing are blank.
+    """Struct of a run's log line "[LEVEL] ACTION source -> destination (notes)"; parts that are missing are blank, another line gives null.
 
-    Runs here have typed outcomes; this reads logs written elsewhere.
+    Runs here have typed outcomes; this reads logs written elsewhere. Brackets
+    belong to the paths, except for the last " (error: " of an ERROR, the last
+    " (conflict: " of a SKIP, and a closing " (note ...)" where there is neither.
+    The rest is cut at its first " -> ": a source that holds one itself cannot be
+    told from its destination, and ends there.
     """
-    shape = r"^\[(\w+)\]\s+(\S+)\s+(.*?)(?: -> (.*?))?(?: \((?:error: )?(.*)\))?$"
-    part = lambda k: F.coalesce(F.regexp_extract(line, shape, k), F.lit(""))
-    status = F.when(part(1) == "ERROR", "error").when(part(1) == "SKIP", "skipped").when(part(1).startswith("DRY"), "dry-run").otherwise("success")
-    return F.when(line.rlike(shape), F.struct(status.alias("status"), part(2).alias("action"), part(3).alias("source"), part(4).alias("destination"), part(5).alias("observations")))
+    part = lambda text, shape, k: F.regexp_extract(text, "(?s)" + shape, k)
+    shape = r"^\[([\w-]+)\]\s+(\S+) (.*)\z"
+    level, rest = part(line, shape, 1), part(line, shape, 3)
+    own = F.when(level == "ERROR", part(rest, r"^.*( \(error: .*)\z", 1)).when(level == "SKIP", part(rest, r"^.*( \(conflict: .*)\z", 1))
+    tail = F.coalesce(F.nullif(own, F.lit("")), part(rest, r"^.*( \(note .*\))\z", 1))
+    notes = F.regexp_replace(F.regexp_replace(tail, r"^ \((?:error: )?", ""), r"\)\z", "")
+    paths = F.substring(rest, F.lit(1), F.length(rest) - F.length(tail))
+    arrow = F.instr(paths, " -> ")
+    source = F.when(arrow > 0, F.substring(paths, F.lit(1), arrow - 1)).otherwise(paths)
+    destination = F.when(arrow > 0, F.substring(paths, arrow + 4, F.length(paths))).otherwise("")
+    status = F.when(level == "INFO", "success").when(level == "SKIP", "skipped").otherwise(F.lower(level))
+    observations = F.when(level == "DRY-RUN", "simulated; no filesystem changes applied").otherwise(notes)
+    return F.when(
+        line.rlike("(?s)" + shape),
+        F.struct(status.alias("status"), part(line, shape, 2).alias("action"), source.alias("source"), destination.alias("destination"), observations.alias("observations")),
+    )

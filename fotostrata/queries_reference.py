@@ -583,9 +583,26 @@ WITH j AS (SELECT entry_id, any_value(status) AS status, any_value(action) AS ac
 SELECT entry_id, CASE WHEN status = 'error' THEN 'error' WHEN status = 'skipped' THEN 'skipped' ELSE 'success' END AS status, action, source, destination, 'note ' || entry_id AS observations FROM j
 WHERE action IS NOT NULL AND source IS NOT NULL AND destination IS NOT NULL AND destination <> '' AND status IS NOT NULL AND NOT contains(source, ' -> ') AND NOT contains(source, ' (')""")
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Journal entries written as log lines and read back."""
+    """Journal entries with a destination and no brackets, written as log lines with a note and read back; log_lines_all has them all."""
     rows = table(spark, sf_dir, "journal_entries").dropDuplicates(["entry_id"]).where("action is not null and source is not null and destination <> '' and status is not null and not contains(source, ' -> ') and not contains(source, ' (')")
     level = F.when(F.col("status") == "error", "ERROR").when(F.col("status") == "skipped", "SKIP").otherwise("INFO")
     line = F.concat(F.lit("["), level, F.lit("] "), F.col("action"), F.lit(" "), F.col("source"), F.lit(" -> "), F.col("destination"), F.lit(" (note "), F.col("entry_id"), F.lit(")"))
     read = review.outcome_of_log(line)
     return rows.select("entry_id", *[read[k].alias(k) for k in ("status", "action", "source", "destination", "observations")])
+
+
+@query("""
+WITH j AS (SELECT entry_id, any_value(status) AS status, any_value(action) AS action, any_value(source) AS source, any_value(destination) AS destination, any_value(error) AS error FROM journal_entries GROUP BY entry_id),
+p AS (SELECT *, source || coalesce(' -> ' || nullif(destination, ''), '') AS path FROM j), a AS (SELECT *, strpos(path, ' -> ') AS arrow FROM p)
+SELECT entry_id, CASE WHEN action IS NULL OR path IS NULL THEN NULL WHEN status = 'error' THEN 'error' WHEN status = 'skipped' THEN 'skipped' ELSE 'success' END AS status,
+ CASE WHEN path IS NOT NULL THEN action END AS action, CASE WHEN action IS NULL THEN NULL WHEN arrow > 0 THEN left(path, arrow - 1) ELSE path END AS source,
+ CASE WHEN action IS NULL OR path IS NULL THEN NULL WHEN arrow > 0 THEN substr(path, arrow + 4) ELSE '' END AS destination,
+ CASE WHEN action IS NULL OR path IS NULL THEN NULL WHEN status = 'error' THEN coalesce(error, '') WHEN status = 'skipped' THEN 'conflict: destination exists' ELSE '' END AS observations FROM a""")
+def log_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every journal entry written as a run's log line and read back; an entry without action or source has no line."""
+    rows = table(spark, sf_dir, "journal_entries").dropDuplicates(["entry_id"])
+    level = F.when(F.col("status") == "error", "ERROR").when(F.col("status") == "skipped", "SKIP").otherwise("INFO")
+    notes = F.when(F.col("status") == "error", F.concat(F.lit(" (error: "), F.coalesce("error", F.lit("")), F.lit(")"))).when(F.col("status") == "skipped", " (conflict: destination exists)").otherwise("")
+    to = F.coalesce(F.concat(F.lit(" -> "), F.nullif("destination", F.lit(""))), F.lit(""))
+    read = review.outcome_of_log(F.concat(F.lit("["), level, F.lit("] "), F.col("action"), F.lit(" "), F.col("source"), to, notes))
+    return rows.select("entry_id", *[read[k].alias(k) for k in ("status", "action", "source", "destination", "observations")])

@@ -152,6 +152,23 @@ def test_review(spark):
     assert review.health(spark.range(0), F.lit(True), F.lit(False), F.lit(True)).first().gps_percent is None
 
 
+@pytest.mark.parametrize("line, want", [
+    ("[ERROR] COPY /a/IMG (1).jpg -> /b/x.jpg (error: disk full)", ("error", "COPY", "/a/IMG (1).jpg", "/b/x.jpg", "disk full")),
+    ("[ERROR] MOVE /a (error: 1)/b.jpg -> /b/b.jpg (error: no (more) room)", ("error", "MOVE", "/a (error: 1)/b.jpg", "/b/b.jpg", "no (more) room")),
+    ("[SKIP] MOVE /a/b (2).jpg -> /c/b (2).jpg (conflict: destination exists)", ("skipped", "MOVE", "/a/b (2).jpg", "/c/b (2).jpg", "conflict: destination exists")),
+    ("[INFO] COPY /a/IMG (1) -> /b/IMG (1)", ("success", "COPY", "/a/IMG (1)", "/b/IMG (1)", "")),
+    ("[INFO] COPY  /a/IMG (1).jpg (note 5)", ("success", "COPY", " /a/IMG (1).jpg", "", "note 5")),
+    ("[DRY-RUN] COPY /a -> /b", ("dry-run", "COPY", "/a", "/b", "simulated; no filesystem changes applied")),
+    ("[STAGED] COPY /a\n(1) -> /b", ("staged", "COPY", "/a\n(1)", "/b", "")),
+    # undefined: the source holds the arrow, and ends at its first
+    ("[INFO] COPY /a -> b.jpg -> /c/d.jpg", ("success", "COPY", "/a", "b.jpg -> /c/d.jpg", "")),
+    ("no line of a log", None),
+])
+def test_log_lines(spark, line, want):
+    got = one(spark, review.outcome_of_log(F.lit(line)).alias("o")).o
+    assert (got and tuple(got)) == want
+
+
 def test_skewed_lookup(spark):
     rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(999, None)], "id long, k string")
     keyed = spark.createDataFrame([("hot", 200, "H"), ("k0", 1, "zero"), ("k3", 1, "three"), ("gone", 1, "x")], "k string, n long, v string")
