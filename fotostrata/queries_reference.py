@@ -427,10 +427,18 @@ def location_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, nfc_normalize(text || 'e' || chr(769)) AS value FROM documents WHERE text IS NOT NULL AND NOT contains(text, 'Ã') AND NOT contains(text, 'Â') AND NOT contains(text, 'â€')")
 def nfc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NFC alone, on the documents without marks of misreading, for these SQL can say it; normalized_text has all documents."""
     docs = table(spark, sf_dir, "documents").where("text is not null").where(~F.col("text").rlike("Ã|Â|â€"))
     return docs.select("doc_id", text.normalize_text(F.concat("text", F.lit("é")))["value"].alias("value"))
 
 
+@query()
+def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text, repaired and in NFC, and what was changed; no SQL says the repair."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.normalize_text("text").alias("t"))
+    return docs.select("doc_id", F.col("t.value").alias("value"), F.col("t.changes").alias("changes"), F.col("t.fidelity_loss").alias("fidelity_loss"))
+
+
 @query(r"""
 WITH v AS (SELECT place_id, nfc_normalize(' ' || name || ': ?/x.  ') AS t FROM place_names)
 SELECT place_id, trim(regexp_replace(regexp_replace(trim(t), '[<>:"/\\|?*]', '-', 'g'), '\s+', ' ', 'g'), ' .') AS part FROM v""")

@@ -1,6 +1,7 @@
 """Every query with SQL gives what the SQL gives, on the smallest tables."""
 
 import os
+import unicodedata
 
 import duckdb
 import pytest
@@ -41,5 +42,39 @@ def test_runs(spark, name):
     assert entry.queries()[name](spark, TABLES).count() >= 0
 
 
+def test_normalized_text_of_every_document(spark, tmp_path):
+    repaired, composed = ["repaired legacy charset mojibake"], ["normalized Unicode to NFC"]
+    cases = [
+        ("plain", "plain", []), ("", "", []), ("caf\u00c3\u00a9", "caf\u00e9", repaired), ("10 \u00c2\u00b0C", "10 \u00b0C", repaired), ("e\u0301", "\u00e9", composed),
+        ("e\u00cc\u0081 \u00c3\u00a9", "\u00e9 \u00e9", [*repaired, *composed]),
+        # correct capitals, and marks that are no Latin-1 reading, stay
+        ("\u00c2ngela, S\u00c3O PAULO", "\u00c2ngela, S\u00c3O PAULO", []), ("it\u00e2\u20ac\u2122s", "it\u00e2\u20ac\u2122s", []), ("\u00c3\u00a9 e\u0301", "\u00c3\u00a9 \u00e9", composed),
+    ]
+    given = [(i, t) for i, (t, _, _) in enumerate(cases)] + [(99, None)]
+    spark.createDataFrame(given, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.value, r.changes, r.fidelity_loss) for r in entry.queries()["normalized_text"](spark, str(tmp_path)).collect()}
+    assert got == {i: (value, changes, False) for i, (_, value, changes) in enumerate(cases)}
+
+
+def brute(text):
+    """normalize_text of the reference, as its source reads."""
+    changes = []
+    if any(m in text for m in ("\u00c3", "\u00c2", "\u00e2\u20ac")):
+        try:
+            repaired = text.encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            repaired = text
+        if repaired != text:
+            text, changes = repaired, ["repaired legacy charset mojibake"]
+    after = unicodedata.normalize("NFC", text)
+    return after, changes + (["normalized Unicode to NFC"] if after != text else [])
+
+
+def test_normalized_text_against_brute_force(spark, sql):
+    want = {i: brute(t) for i, t in sql.execute("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall()}
+    got = {r.doc_id: (r.value, r.changes) for r in entry.queries()["normalized_text"](spark, TABLES).collect()}
+    assert got == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["camera_id", "start_us", "end_us", "duration_us", "n_ops"]
