@@ -125,7 +125,7 @@ class CellIndex:
     kept up to date from each part as it is written.
     """
 
-    SCHEMA = "kind int, sig binary, first_op long, n_ops long, cell int, distance float, vector binary, part int"
+    SCHEMA = "kind int, sig binary, first_op long, n_ops long, cell int, distance double, vector binary, part int"
 
     def __init__(self, spark: SparkSession, folder: str, centres: np.ndarray):
         self.spark, self.folder, self.centres, self.parts = spark, folder, centres, 0
@@ -151,7 +151,7 @@ class CellIndex:
                 sigs = batch.column(names.index("sig")).to_pylist()
                 d = np.sqrt(((_vectors(sigs)[:, None, :].astype(np.float64) - centres[None]) ** 2).sum(axis=2))
                 cell = d.argmin(axis=1)
-                near = d[np.arange(len(d)), cell].astype(np.float32)
+                near = d[np.arange(len(d)), cell]  # as doubles: the bounds are compared with doubles
                 kind = np.asarray(batch.column(names.index("kind")))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array((cell + kind * len(centres)).astype(np.int32)), pa.array(near), pa.array([x[: DIGITS // 2] for x in sigs], pa.binary())],
@@ -159,7 +159,7 @@ class CellIndex:
                 )
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema.fields)
-        return entries.mapInArrow(run, f"{schema}, cell int, distance float, vector binary")
+        return entries.mapInArrow(run, f"{schema}, cell int, distance double, vector binary")
 
     def append(self, entries: DataFrame) -> DataFrame:
         """Adds entries to their cells as a new part, and returns that part."""
