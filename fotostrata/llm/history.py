@@ -3,13 +3,15 @@
 A file is known by up to two signatures: its content hash and its normalised
 path. Each signature is a vector (the hexadecimal digits of a hash) in an
 inverted file of cells: a vector lies in the cell of its nearest centroid, and
-the full vectors are kept, partitioned by cell, in a table of the shared folder.
+the full vectors are kept, sorted by cell, in a table of the shared folder.
 A probe visits only cells that can hold a vector within the match radius by the
 triangle inequality: not farther from the centroid than the cell's outermost
 member, not nearer than its innermost, and not beyond half the difference to the
 nearest centroid. For files the radius is 0, so one cell is left at most. Inside
 a cell the candidates are reranked exactly by the whole signature. Accepting a
-batch appends its vectors to the cells; the history is never read as a whole.
+batch appends its vectors to the cells and reads the cells it probes, which for
+a large batch may be all of them. An index in a folder of its own is opened
+again by a later run, which then reads only what is new.
 
 Scale: copies are reduced to one entry per signature (with map-side combining)
 before anything is shuffled, so a file delivered a billion times is one entry.
@@ -122,7 +124,9 @@ class CellIndex:
 
     Each delivery is a part of the folder, sorted by cell, so that a reader of
     some cells skips the rest by the files' statistics. The cells' bounds are
-    kept up to date from each part as it is written.
+    kept up to date from each part as it is written, and lie beside the parts
+    with the centroids. A part counts once its bounds are written; one writer at
+    a time.
     """
 
     SCHEMA = "kind int, sig binary, first_op long, n_ops long, cell int, distance double, vector binary, part int"
@@ -137,9 +141,29 @@ class CellIndex:
         spark = entries.sparkSession
         sample = [bytes(r[0]) for r in entries.select("sig").limit(FIT_SAMPLE).collect()]
         index = cls(spark, folder or new_folder(spark, "cells"), fit_centroids(_vectors(sample) if sample else np.zeros((0, DIGITS))))
+        rows = [(k, c.tolist()) for k, c in enumerate(index.centres)]
+        spark.createDataFrame(rows, "k int, centre array<float>").coalesce(1).write.mode("overwrite").parquet(f"{index.folder}/centres")
         index.append(entries)
         return index
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> CellIndex | None:
+        """The index an earlier run left in ``folder``; null if there is none, or if its first part was not finished."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/bounds/part=0/_SUCCESS")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        centres = [r.centre for r in spark.read.parquet(f"{folder}/centres").orderBy("k").collect()]
+        index = cls(spark, folder, np.array(centres, np.float32))
+        for r in spark.read.schema("cell int, lo double, hi double, part int").parquet(f"{folder}/bounds").collect():
+            index._widen(r.cell, r.lo, r.hi)
+            index.parts = max(index.parts, r.part + 1)
+        return index
+
+    def _widen(self, cell: int, lo: float, hi: float) -> None:
+        """Takes distances into the bounds of a cell; cell -1 marks the part alone."""
+        if cell >= 0:
+            self.inner[cell], self.outer[cell] = min(self.inner[cell], lo), max(self.outer[cell], hi)
+
     def _assign(self, entries: DataFrame) -> DataFrame:
         """Each entry with its own cell, the distance to the centroid, and its vector."""
         centres, names = self.centres, entries.columns
@@ -163,16 +187,23 @@ class CellIndex:
 
     def append(self, entries: DataFrame) -> DataFrame:
         """Adds entries to their cells as a new part, and returns that part."""
-        path = f"{self.folder}/part={self.parts}"
-        self._assign(entries.select("kind", "sig", "first_op", "n_ops")).sortWithinPartitions("cell").write.parquet(path)
-        self.parts += 1
+        path = f"{self.folder}/parts/part={self.parts}"
+        # a part without bounds is what a broken run left
+        self._assign(entries.select("kind", "sig", "first_op", "n_ops")).sortWithinPartitions("cell").write.mode("overwrite").parquet(path)
         part = self.spark.read.schema(self.SCHEMA.rpartition(",")[0]).parquet(path)
-        for cell, lo, hi in part.groupBy("cell").agg(F.min("distance"), F.max("distance")).collect():
-            self.inner[cell], self.outer[cell] = min(self.inner[cell], lo), max(self.outer[cell], hi)
+        bounds = [tuple(r) for r in part.groupBy("cell").agg(F.min("distance"), F.max("distance")).collect()]
+        # the mark keeps the number of a part without entries
+        kept = self.spark.createDataFrame([(-1, 0.0, 0.0), *bounds], "cell int, lo double, hi double").coalesce(1)
+        kept.write.mode("overwrite").parquet(f"{self.folder}/bounds/part={self.parts}")
+        for row in bounds:
+            self._widen(*row)
+        self.parts += 1
         return part
 
-    def entries(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+    def entries(self, cells: list[int] | None = None) -> DataFrame:
+        """The entries of all finished parts, or of some cells of them."""
+        rows = self.spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/parts").where(F.col("part") < self.parts)
+        return rows if cells is None else rows.where(F.col("cell").isin(cells))
 
     def probe(self, queries: DataFrame) -> DataFrame:
         """``queries`` (kind, sig, ...) with found_op: the least first_op of an entry of the same file; those without one are left out."""
@@ -198,8 +229,9 @@ class CellIndex:
                 )
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields)
-        routed = queries.mapInArrow(run, f"{schema}, cell int, vector binary")
-        members = self.entries().select("cell", "vector", F.col("sig").alias("member"), F.col("first_op").alias("member_op"))
+        routed = materialise(queries.mapInArrow(run, f"{schema}, cell int, vector binary"), "routed")
+        probed = sorted(r[0] for r in routed.select("cell").distinct().collect())  # at most two kinds of CELLS
+        members = self.entries(probed).select("cell", "vector", F.col("sig").alias("member"), F.col("first_op").alias("member_op"))
         # the exact rerank: whole signatures are equal, or a cut-short hash begins the other
         same = F.startswith("sig", F.col("member")) | F.startswith("member", F.col("sig"))
         return routed.join(members, ["cell", "vector"]).where(same).groupBy(*names).agg(F.min("member_op").alias("found_op"))
@@ -248,7 +280,7 @@ def accept_batch(index: CellIndex, signatures: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(ops: DataFrame, batches: DataFrame, groups: DataFrame, step: int | None = None) -> DataFrame:
+def deduplicate(ops: DataFrame, batches: DataFrame, groups: DataFrame, step: int | None = None, folder: str | None = None) -> DataFrame:
     """(accepted_op_id, op_id) for every operation of a ``new`` batch whose file came with a smaller op_id.
 
     ``ops`` has op_id, batch_id, source, content_hash; a row delivered again
@@ -258,11 +290,19 @@ def deduplicate(ops: DataFrame, batches: DataFrame, groups: DataFrame, step: int
     (default: in one delivery, which gives the same pairs, for the smallest op_id
     wins whatever the order of delivery). Null hashes and paths say nothing; an
     operation with neither has no duplicates. Empty tables give no rows.
+
+    Without ``folder`` a run starts from the full history. With it, the index
+    stays there: the first run builds it, a later one opens it and reads only the
+    operations of new batches, so all other batches must have been accepted into
+    it before. A hash ``groups`` records later does not reach back to entries
+    that were accepted without one.
     """
     new = sorted(r[0] for r in batches.where("status = 'new' and batch_id is not null").select("batch_id").distinct().collect())
-    sigs = file_signatures(ops.where("op_id is not null"), groups)
     fresh = F.coalesce(F.col("batch_id").isin(new), F.lit(False)) if new else F.lit(False)
-    index = CellIndex.build(entries_of(sigs.where(~fresh)))
+    index = CellIndex.open(ops.sparkSession, folder) if folder else None
+    sigs = file_signatures(ops.where("op_id is not null" if index is None else fresh & F.col("op_id").isNotNull()), groups)
+    if index is None:
+        index = CellIndex.build(entries_of(sigs.where(~fresh)), folder)
     found = []
     size = step or max(1, len(new))
     for at in range(0, len(new), size):

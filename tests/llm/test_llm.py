@@ -86,6 +86,30 @@ def test_empty_history_keeps_its_outermost_signature(spark):
         assert sorted(tuple(x) for x in history.deduplicate(df, batches, groups).collect()) == [(1, 2), (1, 3)]
 
 
+def test_an_index_is_opened_again_and_read_by_cell(spark, tmp_path):
+    import hashlib
+
+    h = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(400)]
+    ops = [(i, 1 + i // 100, None, h[i % 150] if i % 2 else h[i]) for i in range(400)]
+    df = spark.createDataFrame(ops, "op_id long, batch_id long, source string, content_hash string")
+    groups = spark.createDataFrame([], "content_hash string, original string, duplicates array<string>")
+    batches = lambda *new: spark.createDataFrame([(b, "new" if b in new else "accepted") for b in range(1, 5)], "batch_id long, status string")
+    pairs = lambda found: sorted(tuple(x) for x in found.collect())
+    folder = str(tmp_path / "index")
+    want = pairs(history.deduplicate(df, batches(2, 3, 4), groups))
+    got = pairs(history.deduplicate(df.where("batch_id <= 2"), batches(2), groups, folder=folder))
+    # later runs see no row of the history
+    for b in (3, 4):
+        got += pairs(history.deduplicate(df.where(f"batch_id = {b}"), batches(b), groups, folder=folder))
+    assert want and sorted(got) == want
+    index = history.CellIndex.open(spark, folder)
+    assert index.parts == 4 and len(index.centres) > 1
+    cells = [r[0] for r in index.entries().select("cell").distinct().collect()]
+    one = index.entries(cells[:1])
+    assert 0 < one.count() < index.entries().count() and "In(cell" in one._jdf.queryExecution().toString() or "EqualTo(cell" in one._jdf.queryExecution().toString()
+    assert history.CellIndex.open(spark, str(tmp_path / "none")) is None
+
+
 def test_a_third_of_all_rows_one_file(spark):
     df = spark.range(3000).select((F.col("id") + 1).alias("op_id"), (F.col("id") % 2 + 1).alias("batch_id"), F.when(F.col("id") % 3 == 0, "/hot/a.jpg").otherwise(F.concat(F.lit("/f/"), F.col("id"), F.lit(".jpg"))).alias("source"), F.lit(None).cast("string").alias("content_hash"))
     batches = spark.createDataFrame([(1, "accepted"), (2, "new")], "batch_id long, status string")
