@@ -4,9 +4,10 @@ Every document gets a vector of statistics. For each language the mean and
 covariance of prose are estimated robustly from all documents: a start from
 medians and absolute deviations, then concentration steps that re-estimate from
 the documents within a quantile of the distance. The Mahalanobis distance tells
-how far a document lies from prose, and each statistic's share of the squared
-distance tells why. The outliers are then named list, table or junk by the
-statistics that make them so; one that no statistic explains stays prose.
+how far a document lies from prose, and each statistic's contribution to the
+squared distance tells why. A document is an outlier where the squared distance
+is beyond the chi-square quantile of as many degrees of freedom as there are
+statistics; its kind is the one whose statistics contribute most.
 
 Scale: statistics are computed where the text lies and written once; the
 estimation moves only sums of moments, one row per partition and language.
@@ -18,6 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,18 @@ COMMON_WORDS = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más pero sus le o este mi nuestro aunque cuando cerca también después antes aquel fue qué",
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an war wie bei nach aus am vor unser meine obwohl bevor dieser jedes einem einer kam",
 }
-_COMMON = {k: frozenset(v.split()) for k, v in COMMON_WORDS.items()}
-_ANY_COMMON = frozenset().union(*_COMMON.values())
+_LANGUAGES = sorted(COMMON_WORDS)
+#: The languages of each common word, by number.
+_COMMON: dict[str, list[int]] = {}
+for _i, _lang in enumerate(_LANGUAGES):
+    for _word in sorted(set(COMMON_WORDS[_lang].split())):
+        _COMMON.setdefault(_word, []).append(_i)
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _MARK = re.compile(r"^\s*(?:(?:\d{1,4}|[a-zA-Z]{1,2})[.)]|[-–—•*·▪◦‣+]|\[[ xX✓]?\]|[☐☑✓✗])\s+\S")
 _ENDS = re.compile(r"""[.!?…:]["'”’»)\]]*\s*$""")
 _SENTENCE = re.compile(r"""[.!?…]+["'”’»)\]]*(?=\s|$)""")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+_TAG = re.compile(r"<(/?)([a-zA-Z]+)[^<>]*>")
 _HEX = re.compile(r"^[0-9a-fA-F]{2,8}$")
 _PATH = re.compile(r"^[^\s]*[/\\].*\.[A-Za-z0-9]{2,4}$")
 _FILE = re.compile(r"^[\w\-~ ()]*\.[A-Za-z0-9]{2,4}$")
@@ -53,21 +59,76 @@ _STOP = re.compile(r"[.!?…]\s*$")
 _VOWELS = frozenset("aeiouyáàâãäéèêëíìîïóòôõöúùûü")
 _PUNCTUATION = frozenset(".,;:!?'\"()-–—“”‘’„«»…¿¡")
 _NUMBER = re.compile(r"^[\d.,:;/\-+%]+$")
+_PART = re.compile(r"[,;|•·]\s|\n|[.!?…]+\s")
+_EDGE = ".,;:!?…\"'()“”‘’„«»[]"
+_NAMED = re.compile(r"[^\W\d_]{3}")  # an item names something; a row of numbers does not
+_WIDE = re.compile(r"\s{2,}")
+_BARS = ("|", "<", ">", "©", "»", "«")
 
 #: The statistics, in order. The first ones describe, all but the word count take part in the distance.
 STATS = [
     "n_words", "mean_word_length", "symbol_ratio", "line_end_ratio", "common_ratio", "foreign_ratio", "digit_ratio", "letter_ratio", "vowel_ratio",
-    "top_word_ratio", "distinct_ratio", "words_per_sentence", "words_per_part", "mark_lines", "item_lines", "table_lines", "odd_tokens", "long_tokens", "number_tokens", "hash_tokens",
+    "top_word_ratio", "distinct_ratio", "words_per_sentence", "words_per_part", "parts_per_sentence", "mark_lines", "item_lines", "table_lines", "odd_tokens", "long_tokens", "number_tokens", "hash_tokens",
     "latin_ratio", "case_breaks", "bar_tokens",
 ]
 #: The language of texts with a smaller share of common words than this.
 ANY, LEAST_COMMON = "any", 0.12
 CONCENTRATION_STEPS = 3
-LEAST_DOCUMENTS = 100
 #: Documents within this quantile of the distances estimate the next mean and covariance.
 KEEP_QUANTILE = 0.75
-#: The squared distance per statistic beyond which a document is an outlier.
-OUTLIER_PER_STAT = 1.0
+#: An estimate from n documents of a language counts n / (n + this), that over all languages the rest.
+SHRINK = 100.0
+#: Documents beyond this quantile of the chi-square distribution are outliers.
+OUTLIER_QUANTILE = 0.99
+#: Tokens over which different ones are counted, so that long texts are not poorer in words than short ones.
+WINDOW = 40
+#: Where neither list nor table reaches this quantile of one degree of freedom, nothing shows an order: junk.
+EXPLAINED_QUANTILE = 0.999
+#: The statistics that speak for a kind, with the direction in which they do; the others speak against prose alone.
+SIGNATURES = {
+    "table": {"table_lines": 1},
+    "list": {"mark_lines": 1, "item_lines": 1, "hash_tokens": 1, "parts_per_sentence": 1},
+    "junk": {"top_word_ratio": 1, "foreign_ratio": 1, "odd_tokens": 1, "long_tokens": 1, "case_breaks": 1, "number_tokens": 1, "latin_ratio": -1, "bar_tokens": 1, "words_per_part": 1, "symbol_ratio": 1},
+}
+#: Shares that matter only where they make up the text in the main; they are measured by their cubes.
+_IN_THE_MAIN = ("mark_lines", "item_lines", "table_lines", "long_tokens", "number_tokens", "hash_tokens", "top_word_ratio", "case_breaks")
+#: What rows of a table show too: it counts only for the rest of the text.
+_IN_TABLES = ("mark_lines", "item_lines", "parts_per_sentence", "odd_tokens", "long_tokens", "number_tokens", "bar_tokens")
+_LETTER, _LATIN, _VOWEL, _DIGIT, _SYMBOL, _BLANK = (1 << i for i in range(6))
+
+
+def chi_square_quantile(q: float, d: int) -> float:
+    """The quantile of the chi-square distribution with d degrees of freedom, by Wilson and Hilferty."""
+    return d * (1 - 2 / (9 * d) + NormalDist().inv_cdf(q) * math.sqrt(2 / (9 * d))) ** 3
+
+
+def _class_of(c: str) -> int:
+    if c.isspace():
+        return _BLANK
+    if c.isalpha():
+        return _LETTER | (_LATIN if ord(c) < 0x250 else 0) | (_VOWEL if c.lower() in _VOWELS else 0)
+    if c.isdigit():
+        return _DIGIT
+    return 0 if c.isalnum() or c in _PUNCTUATION else _SYMBOL
+
+
+#: Classes of the characters of most texts; others are looked up one by one.
+_CLASSES = np.array([_class_of(chr(c)) for c in range(0x2100)], np.uint8)
+_BITS = np.array([[i >> bit & 1 for i in range(64)] for bit in range(6)])
+
+
+def character_counts(text: str) -> tuple[int, int, int, int, int, int]:
+    """(letters, Latin letters, vowels, digits, symbols, characters that are no blanks)."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    near = codes < len(_CLASSES)
+    all_near = bool(near.all())
+    counts = np.bincount(_CLASSES[codes if all_near else codes[near]], minlength=64)
+    if not all_near:
+        far, times = np.unique(codes[~near], return_counts=True)
+        for code, k in zip(far.tolist(), times.tolist(), strict=True):
+            counts[_class_of(chr(code))] += k
+    *sums, blanks = (_BITS @ counts).tolist()
+    return *sums, len(codes) - blanks
 
 
 def _unwrap(lines: list[str]) -> list[str]:
@@ -98,12 +159,16 @@ def _unwrap(lines: list[str]) -> list[str]:
 
 def _table_share(lines: list[str], text: str) -> float:
     """Share of lines that are rows of the same columns, in any layout."""
-    tags = _TAG.findall(text)
-    cells = sum(t[1:3].lower() in ("td", "th") for t in tags)
-    best = 0.0
-    if cells >= 2:
-        inside = sum(len(x) for x in re.findall(r"<t[dh][^<>]*>(.{0,400}?)</t[dh]>", text, flags=re.S | re.I)) + sum(map(len, tags))
-        best = min(1.0, inside / max(1, len(text)))
+    cells = inside = 0
+    opened = None
+    for tag in _TAG.finditer(text) if "<" in text else ():
+        inside += tag.end() - tag.start()
+        if tag.group(2).lower() in ("td", "th"):
+            if opened is not None:
+                inside += tag.start() - opened
+            opened = None if tag.group(1) else tag.end()
+            cells += not tag.group(1)
+    best = min(1.0, inside / max(1, len(text))) if cells >= 2 else 0.0
     if len(lines) < 2:
         return best
     grid = sum(bool(re.match(r"^\s*(\+[-=+]{3,}|\|.*\|\s*$)", x)) for x in lines)
@@ -118,7 +183,7 @@ def _table_share(lines: list[str], text: str) -> float:
         stops = sum(bool(_STOP.search(x)) for x in rows)
         if words <= 3.5 and stops <= 0.3 * hits and (number > 1 or mark == "\t" or mark == "|" or hits >= 3):
             best = max(best, hits / len(lines))
-    columns = Counter(len(re.split(r"\s{2,}", x.strip())) for x in lines)
+    columns = Counter(len(_WIDE.split(y)) if "  " in (y := x.strip()) or "\t" in y else 1 for x in lines)
     wide = sum(h for n, h in columns.items() if n >= 2)
     if wide >= 2:
         # columns of fixed width: most starts of cells stand below one another
@@ -131,53 +196,66 @@ def _table_share(lines: list[str], text: str) -> float:
 
 def describe(text: str) -> tuple[str, list[int], list[float]]:
     """(language, [lines, sentences, parts], statistics) of one text; the language is the one whose common words are most frequent."""
-    raw_lines = [x for x in text.splitlines() if x.strip()]
+    split = text.splitlines()
+    raw_lines = [x for x in split if x.strip()]
     table = _table_share(raw_lines, text)
-    lines = raw_lines if table > 0.5 else [x for x in _unwrap(text.splitlines()) if x.strip()]
-    words = _WORD.findall(text.lower())
+    lines = raw_lines if table > 0.5 else [x for x in _unwrap(split) if x.strip()]
     tokens = text.split()
-    n, seen = len(words), Counter(text)
-    chars = max(1, sum(k for c, k in seen.items() if not c.isspace()))
-    counts = Counter(words)
-    hits = {lang: sum(counts[w] for w in common if w in counts) for lang, common in _COMMON.items()}
-    best = max(sorted(hits), key=lambda k: hits[k])
+    bare = [t.strip(_EDGE) for t in text.lower().split()]
+    counts: Counter[str] = Counter()
+    for t, k in Counter(bare).items():
+        if t.isalpha():
+            counts[t] += k
+        else:
+            for w in _WORD.findall(t):
+                counts[w] += k
+    n, n_tokens, n_lines = counts.total(), max(1, len(tokens)), max(1, len(lines))
+    letters, latin, vowels, digits, symbols, chars = character_counts(text)
+    hits, known = [0] * len(_LANGUAGES), []
+    for w, k in counts.items():
+        if w in _COMMON:
+            known.append((w, k))
+            for lang in _COMMON[w]:
+                hits[lang] += k
+    best = hits.index(max(hits))
     # too few common words to tell: such a text is measured against the prose of all languages
-    lang = best if hits[best] >= max(2, LEAST_COMMON * n) else ANY
-    own = _COMMON[best]
-    foreign = sum(c for w, c in counts.items() if w in _ANY_COMMON and w not in own and len(w) > 1)
-    letters = sum(k for c, k in seen.items() if c.isalpha())
-    latin = sum(k for c, k in seen.items() if c.isalpha() and ord(c) < 0x250)
-    vowels = sum(k for c, k in seen.items() if c.lower() in _VOWELS)
-    symbols = sum(k for c, k in seen.items() if not c.isalnum() and not c.isspace() and c not in _PUNCTUATION)
-    digits = sum(k for c, k in seen.items() if c.isdigit())
+    lang = _LANGUAGES[best] if hits[best] >= max(2, LEAST_COMMON * n) else ANY
+    foreign = sum(k for w, k in known if best not in _COMMON[w] and len(w) > 1)
     sentences = len(_SENTENCE.findall(text))
-    parts = [p for p in re.split(r"[,;|•·]\s|\n|[.!?…]+\s", "\n".join(lines)) if p.strip()]
-    part_words = sorted(len(p.split()) for p in parts)
-    # a dash or number before whole sentences is speech or a paragraph, not an item
-    marked = [bool(_MARK.match(x)) and not (len(x.split()) > 6 and _SENTENCE.search(x, _MARK.match(x).end())) for x in lines]
-    marks = sum(marked)
-    items = sum(
-        bool(_PATH.match(x.strip())) or m or (len(x.split()) <= 10 and not _SENTENCE.search(x.rstrip(" :")) and len(lines) >= 3) for x, m in zip(lines, marked, strict=True)
-    )
-    # letters, digits and symbols mixed within a token, unless it is a file name, an email-like mark, a number or a time
-    # each distinct token is looked at once, and most are plain words, which none of these can be
-    distinct = Counter(tokens)
-    rare = [(t, k) for t, k in distinct.items() if not _PLAIN.fullmatch(t) or len(t) > 30]
-    odd = sum(k for t, k in rare if _ODD.search(t) and not _FILE.match(t.strip("().,;:…[]\"")) and not _PATH.match(t))
-    longest = sum(k for t, k in rare if len(t) > 30 and not _PATH.match(t) and not _TAG.search(t) and t[:1] != "#")
-    numbers = sum(k for t, k in rare if _NUMBER.match(t) or _HEX.match(t) and any(c.isdigit() for c in t))
-    hashes = sum(k for t, k in rare if t[0] == "#" and len(t) > 1)
-    breaks = sum(k for t, k in distinct.items() if _CASES.search(t) and t[:1] != "#")
-    common = max(counts.values(), default=0)
+    part_words = sorted(len(w) for p in _PART.split("\n".join(lines)) if (w := p.split()))
+    items = marks = 0
+    for x in lines:
+        size = len(x.split())
+        mark = _MARK.match(x)
+        # a dash or number before whole sentences is speech or a paragraph, not an item
+        marked = mark is not None and not (size > 6 and _SENTENCE.search(x, mark.end()))
+        marks += marked
+        items += marked or bool(_PATH.match(x.strip())) or (size <= 10 and len(lines) >= 3 and _NAMED.search(x) is not None and not _SENTENCE.search(x.rstrip(" :")))
+    # each distinct token is looked at once, and most are plain words, which are none of these
+    odd = longest = numbers = hashes = breaks = 0
+    for t, k in Counter(tokens).items():
+        if not t[1:].islower() and t[0] != "#" and _CASES.search(t):
+            breaks += k
+        if len(t) <= 30 and (t.isalpha() or t[:-1].isalpha() and t[-1] in ".,;:!?…" or _PLAIN.fullmatch(t)):
+            continue
+        if t[0] == "#":
+            hashes += k * (len(t) > 1)
+            continue
+        path = _PATH.match(t) is not None
+        # letters, digits and symbols mixed, unless it is a file name, an email-like mark, a number or a time
+        odd += k * (not path and _ODD.search(t) is not None and not _FILE.match(t.strip("().,;:…[]\"")))
+        longest += k * (len(t) > 30 and not path and not _TAG.search(t))
+        numbers += k * (_NUMBER.match(t) is not None or _HEX.match(t) is not None and any(c.isdigit() for c in t))
     few = max(1, n)
+    different = sum(len(set(bare[i : i + WINDOW])) for i in range(0, len(bare), WINDOW))
     stats = [
-        n, sum(map(len, words)) / few, symbols / chars, sum(bool(_ENDS.search(x)) for x in lines) / max(1, len(lines)), hits[best] / few, foreign / few,
-        digits / chars, letters / chars, vowels / max(1, letters), common / few, len(counts) / few ** 0.7 if n else 0.0,
-        math.log1p(n / max(1, sentences)), math.log1p(part_words[len(part_words) // 2] if part_words else 0), marks / max(1, len(lines)), items / max(1, len(lines)),
-        table, odd / max(1, len(tokens)), longest / max(1, len(tokens)), numbers / max(1, len(tokens)), hashes / max(1, len(tokens)), latin / max(1, letters), breaks / max(1, len(tokens)),
-        sum(distinct[t] for t in ("|", "<", ">", "©", "»", "«")) / max(1, len(tokens)),
+        n, sum(len(w) * k for w, k in counts.items()) / few, symbols / max(1, chars), sum(bool(_ENDS.search(x)) for x in lines) / n_lines, hits[best] / few, foreign / few,
+        digits / max(1, chars), letters / max(1, chars), vowels / max(1, letters), max(counts.values(), default=0) / few, different / n_tokens,
+        math.log1p(n / max(1, sentences)), math.log1p(part_words[len(part_words) // 2] if part_words else 0), math.log((len(part_words) + 1) / (sentences + 1)),
+        marks / n_lines, items / n_lines, table, odd / n_tokens, longest / n_tokens, numbers / n_tokens, hashes / n_tokens, latin / max(1, letters), breaks / n_tokens,
+        sum(tokens.count(t) for t in _BARS if t in text) / n_tokens,
     ]
-    return lang, [len(raw_lines), sentences, len(parts)], [float(x) for x in stats]
+    return lang, [len(raw_lines), sentences, len(part_words)], [float(x) for x in stats]
 
 
 def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,13 +281,27 @@ def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 _USED = np.arange(1, len(STATS))  # the word count describes a document but does not make it prose
+_AT = {name: i for i, name in enumerate(STATS)}
+
+
+def features(stats: np.ndarray) -> np.ndarray:
+    """The statistics (columns of STATS) as they are measured by the distance; see _IN_TABLES and _IN_THE_MAIN."""
+    x = stats.copy()
+    rest = 1 - stats[:, _AT["table_lines"]]
+    for name in _IN_TABLES:
+        x[:, _AT[name]] *= rest
+    x[:, _AT["latin_ratio"]] = 1 - (1 - x[:, _AT["latin_ratio"]]) * rest
+    for name in _IN_THE_MAIN:
+        x[:, _AT[name]] **= 3
+    return x[:, _USED]
 
 
 class ProseModel:
-    """Mean and inverse covariance of prose for each language, over the statistics that take part in the distance."""
+    """Mean and covariance of prose for each language, over the statistics that take part in the distance."""
 
-    def __init__(self, centre: dict[str, np.ndarray], inverse: dict[str, np.ndarray]):
-        self.centre, self.inverse = centre, inverse
+    def __init__(self, centre: dict[str, np.ndarray], covariance: dict[str, np.ndarray]):
+        self.centre, self.covariance = centre, covariance
+        self.inverse = {k: np.linalg.inv(c) for k, c in covariance.items()}
 
     def squared(self, lang: str, x: np.ndarray) -> np.ndarray:
         """Contributions of each statistic (columns) to the squared distance of each row; they add up to it."""
@@ -224,41 +316,55 @@ class ProseModel:
 def _floor() -> np.ndarray:
     """The least standard deviation of each statistic: below it, differences mean nothing."""
     floor = np.full(len(STATS), 0.03)
-    for name, value in {"mean_word_length": 0.35, "words_per_sentence": 0.35, "words_per_part": 0.35, "line_end_ratio": 0.25, "item_lines": 0.2, "mark_lines": 0.15,
-                        "table_lines": 0.15, "distinct_ratio": 0.25, "common_ratio": 0.06, "top_word_ratio": 0.05, "letter_ratio": 0.04}.items():
+    for name, value in {"mean_word_length": 0.35, "words_per_sentence": 0.35, "words_per_part": 0.35, "parts_per_sentence": 0.35, "line_end_ratio": 0.25, "distinct_ratio": 0.07,
+                        "common_ratio": 0.06, "letter_ratio": 0.04}.items():
         floor[STATS.index(name)] = value
     return floor[_USED]
 
 
 def fit_prose(stats: DataFrame) -> ProseModel:
-    """Robust mean and covariance per language from all rows of ``stats`` (lang, stats), and over all languages for ANY."""
+    """Robust mean and covariance per language from all rows of ``stats`` (lang, stats), and over all languages for ANY.
+
+    A language of n documents takes part of its estimate from all languages, the
+    less the more documents it has (SHRINK), so that nothing switches at a size.
+    """
     d, floor = len(_USED), _floor()
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = features(_matrix(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for k in range(d))], names=["lang", *(f"x{k}" for k in range(d))])
+
     told = stats.select("lang", "stats").where(F.col("lang") != ANY)
-    stats = told.unionByName(told.withColumn("lang", F.lit(ANY)))
-    middle = F.percentile_approx
-    columns = [F.col("stats")[int(i)] for i in _USED]
-    rows = stats.groupBy("lang").agg(F.array(*[middle(c, F.lit(0.5), F.lit(1000)) for c in columns]).alias("m"), F.count(F.lit(1)).alias("n")).collect()
+    both = told.unionByName(told.withColumn("lang", F.lit(ANY)))
+    values = both.mapInArrow(measured, ", ".join(["lang string", *(f"x{k} double" for k in range(d))]))
+    middle = lambda c: F.percentile_approx(c, F.lit(0.5), F.lit(1000))
+    rows = values.groupBy("lang").agg(F.array(*[middle(F.col(f"x{k}")) for k in range(d)]).alias("m"), F.count(F.lit(1)).alias("n")).collect()
     centre = {r["lang"]: np.array(r["m"], float) for r in rows}
     if not centre:  # no document in any language: nothing is prose to compare with
-        return ProseModel({ANY: np.zeros(d)}, {ANY: np.diag(1 / floor**2)})
+        return ProseModel({ANY: np.zeros(d)}, {ANY: np.diag(floor**2)})
     medians = stats.sparkSession.createDataFrame([(k, [float(v) for v in m]) for k, m in centre.items()], "lang string, m array<double>")
-    apart = stats.join(F.broadcast(medians), "lang").select("lang", *[F.abs(F.col("stats")[int(i)] - F.col("m")[k]).alias(f"d{k}") for k, i in enumerate(_USED)])
-    spread = apart.groupBy("lang").agg(F.array(*[middle(f"d{k}", F.lit(0.5), F.lit(1000)) for k in range(d)]).alias("s")).collect()
-    scale = {r["lang"]: np.maximum(1.4826 * np.array(r["s"], float), floor) for r in spread}
-    model = ProseModel(centre, {k: np.diag(1 / s**2) for k, s in scale.items()})
+    apart = values.join(F.broadcast(medians), "lang").select("lang", *[F.abs(F.col(f"x{k}") - F.col("m")[k]).alias(f"d{k}") for k in range(d)])
+    spread = apart.groupBy("lang").agg(F.array(*[middle(F.col(f"d{k}")) for k in range(d)]).alias("s")).collect()
+    model = ProseModel(centre, {r["lang"]: np.diag(np.maximum(1.4826 * np.array(r["s"], float), floor) ** 2) for r in spread})
     for _ in range(CONCENTRATION_STEPS):
-        model = _concentrate(stats, model, floor)
-    # a language of a few documents says nothing about its prose: they are measured against all languages
+        model = _concentrate(both, model, floor)
     for r in rows:
-        if r["n"] < LEAST_DOCUMENTS and ANY in model.centre:
-            model.centre[r["lang"]], model.inverse[r["lang"]] = model.centre[ANY], model.inverse[ANY]
-    return model
+        lang, weight = r["lang"], r["n"] / (r["n"] + SHRINK)
+        if lang != ANY:
+            apart_by = model.centre[lang] - model.centre[ANY]
+            model.centre[lang] = model.centre[ANY] + weight * apart_by
+            model.covariance[lang] = weight * model.covariance[lang] + (1 - weight) * model.covariance[ANY] + weight * (1 - weight) * np.outer(apart_by, apart_by)
+    return ProseModel(model.centre, model.covariance)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column(batch.schema.get_field_index("stats")).flatten()).reshape(-1, len(STATS))
 
 
 def _distances(batch: pa.RecordBatch, model: ProseModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     langs = np.array(batch.column(batch.schema.get_field_index("lang")).to_pylist(), dtype=object)
-    flat = batch.column(batch.schema.get_field_index("stats")).flatten()
-    x = np.asarray(flat).reshape(-1, len(STATS))[:, _USED]
+    x = features(_matrix(batch))
     parts = np.zeros_like(x)
     for lang in model.languages:
         own = langs == lang
@@ -317,7 +423,7 @@ def _concentrate(stats: DataFrame, model: ProseModel, floor: np.ndarray) -> Pros
     for lang, n, m in rows:
         before = sums.get(lang, (0.0, np.zeros(d + d * d)))
         sums[lang] = (before[0] + n, before[1] + np.array(m))
-    centre, inverse = dict(model.centre), dict(model.inverse)
+    centre, covariance = dict(model.centre), dict(model.covariance)
     for lang, (n, m) in sums.items():
         mean = m[:d] / n
         cov = m[d:].reshape(d, d) / n - np.outer(mean, mean)
@@ -325,53 +431,39 @@ def _concentrate(stats: DataFrame, model: ProseModel, floor: np.ndarray) -> Pros
         # shrunk towards its diagonal, never below the least deviations: constant statistics stay invertible
         own = np.diag(np.maximum(np.diag(cov), floor**2))
         weight = n / (n + 5.0 * d)
-        inverse[lang] = np.linalg.inv(weight * cov + (1 - weight) * own + np.diag(np.maximum(floor**2 - weight * np.diag(cov), 0.25 * floor**2)))
-    return ProseModel(centre, inverse)
-
-
-def name_kind(s: dict[str, float], n_lines: int, n_sentences: int, n_parts: int) -> str | None:
-    """What an outlier is: list, table or junk by the statistics that make it one, None if they leave it prose."""
-    n, part = s["n_words"], math.expm1(s["words_per_part"])
-    if s["table_lines"] >= 0.6 and (n_lines >= 2 or s["table_lines"] > 0.8):
-        return "table"
-    listed = s["mark_lines"] >= 0.6 or s["hash_tokens"] >= 0.6
-    if not listed:
-        # dumps and noise
-        if s["number_tokens"] >= 0.6 or s["long_tokens"] >= 0.3 or s["case_breaks"] >= 0.4:
-            return "junk"
-        if s["letter_ratio"] < 0.45 and s["item_lines"] < 0.6 or s["latin_ratio"] < 0.8 and s["common_ratio"] < 0.1:
-            return "junk"
-        if s["odd_tokens"] >= 0.2 and s["common_ratio"] < 0.35 and s["item_lines"] < 0.6:
-            return "junk"
-        # one thing over and over, page remnants, words out of any order
-        if n >= 8 and s["top_word_ratio"] >= 0.35 or s["bar_tokens"] >= 0.2:
-            return "junk"
-        if s["foreign_ratio"] >= 0.1 and s["common_ratio"] < 0.36 and n / max(1, n_sentences) >= 25 and part >= 12:
-            return "junk"
-    if listed:
-        return "list"
-    if n_lines >= 3 and s["item_lines"] >= 0.6:
-        return "list"
-    if n_parts >= 4 and part <= 8 and n_sentences <= 0.15 * n_parts:
-        return "list"
-    return "junk" if s["common_ratio"] < 0.15 and n_sentences * 20 <= n else None
+        covariance[lang] = weight * cov + (1 - weight) * own + np.diag(np.maximum(floor**2 - weight * np.diag(cov), 0.25 * floor**2))
+    return ProseModel(centre, covariance)
+
+
+def name_kinds(contributions: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """What outliers (rows) are: the kind whose signature contributes most to the squared distance.
+
+    ``apart`` has the deviations from prose; a contribution speaks for a kind only
+    in its direction. A text in which nothing shows the order of a list or table
+    is junk; of equals the first of table, list, junk is named.
+    """
+    column = {name: k for k, name in enumerate(STATS[1:])}
+    scores = []
+    for signature in SIGNATURES.values():
+        at, direction = [column[name] for name in signature], np.array(list(signature.values()))
+        scores.append((np.maximum(contributions[:, at], 0) * (apart[:, at] * direction > 0)).sum(axis=1))
+    scores[-1] = np.maximum(scores[-1], chi_square_quantile(EXPLAINED_QUANTILE, 1))
+    return np.array(list(SIGNATURES), object)[np.argmax(np.stack(scores, axis=1), axis=1)]
 
 
 def score_documents(stats: DataFrame, model: ProseModel, key: str = "doc_id") -> DataFrame:
-    """``stats`` with distance2, outlier, kind and contributions (each statistic's share of the squared distance)."""
-    d = len(_USED)
-    position = {name: i for i, name in enumerate(STATS)}
+    """``stats`` with distance2, outlier, kind and contributions (each statistic's part of the squared distance)."""
+    cut = chi_square_quantile(OUTLIER_QUANTILE, len(_USED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            _, _, parts = _distances(batch, model)
+            langs, x, parts = _distances(batch, model)
             total = parts.sum(axis=1)
-            whole = np.asarray(batch.column(batch.schema.get_field_index("stats")).flatten()).reshape(-1, len(STATS))
-            outlier = total > OUTLIER_PER_STAT * d
-            counts = batch.column(batch.schema.get_field_index("counts")).to_pylist()
-            kinds = [name_kind({k: row[i] for k, i in position.items()}, *c) if far else None for row, far, c in zip(whole, outlier, counts, strict=True)]
+            outlier = total > cut
+            kinds = np.full(len(total), None, object)
+            kinds[outlier] = name_kinds(parts[outlier], x[outlier] - np.array([model.centre[lang] for lang in langs[outlier]]).reshape(-1, x.shape[1]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(total), pa.array(outlier), pa.array(kinds, pa.string()), pa.array(parts.tolist(), pa.list_(pa.float64()))],
                 names=[*batch.schema.names, "distance2", "outlier", "kind", "contributions"],
