@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fotostrata.llm.canonical import map_to_canonical
 from fotostrata.llm.garbled import restore_garbled
-from fotostrata.llm.history import deduplicate
+from fotostrata.llm.history import deduplicate, near_files
 from fotostrata.llm.packing import pack_documents
 from fotostrata.llm.quality import STATS, judge_documents
 from fotostrata.llm.tokens import decode_corpus, encode_corpus, token_counts
@@ -21,6 +21,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(ops, table(spark, sf_dir, "import_batches"), groups)
 
 
+def p1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op_id, near_op_id, distance2: for every operation whose id 50 divides, the nearest other path among all earlier operations."""
+    return near_files(table(spark, sf_dir, "file_operations"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """field, record_id, place_id: the canonical place each odd city, country and state means, -1 if none."""
     rules = table(spark, sf_dir, "correction_rules")
@@ -90,5 +95,5 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.col("lang").alias("detected_lang"), *columns, "distance2", most.alias("most_unlike"), "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_sheets": p8_sheets, "p8_fill": p8_fill, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p1_found": p1_found, "p1_near": p1_near, "p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_sheets": p8_sheets, "p8_fill": p8_fill, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLES = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

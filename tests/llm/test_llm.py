@@ -46,7 +46,7 @@ def test_hash_spellings(spark):
 @given(st.integers(1, 12), st.integers(0, 10_000), st.sampled_from([0.0, 2.0, 6.0]))
 def test_probed_cells_hold_every_vector_in_the_radius(cells, seed, radius):
     rng = np.random.default_rng(seed)
-    members, queries = rng.integers(0, 16, (80, 16)).astype(np.float32), rng.integers(0, 16, (10, 16)).astype(np.float32)
+    members, queries = rng.integers(0, 16, (80, 16)).astype(float), rng.integers(0, 16, (10, 16)).astype(float)
     queries[:3] = members[:3]
     centres = history.fit_centroids(members[:40], cells)
     d = np.sqrt(((members[:, None].astype(float) - centres[None]) ** 2).sum(axis=2))
@@ -74,8 +74,49 @@ def test_batches_against_history(spark, step):
     assert history.deduplicate(df.limit(0), batches, groups).count() == 0 and history.deduplicate(df, batches.limit(0), groups.limit(0)).count() == 0
 
 
+def test_brief_hashes_begin_whole_ones(spark):
+    import hashlib
+
+    h = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(6)]
+    ops = [(1, 1, None, h[0]), (2, 1, None, h[1][:5]), (3, 1, None, h[2][:33]), (4, 2, None, h[0][:9]), (5, 2, None, h[1]), (6, 2, None, h[2].upper()), (7, 3, None, h[1][:7]), (8, 3, None, h[3][:15]), (9, 3, None, h[3][:40]), (10, 3, None, "0"), (11, 3, None, "0000"), (12, 3, None, h[4][:3])]
+    df = spark.createDataFrame(ops, "op_id long, batch_id long, source string, content_hash string")
+    batches = spark.createDataFrame([(1, "accepted"), (2, "new"), (3, "new")], "batch_id long, status string")
+    groups = spark.createDataFrame([], "content_hash string, original string, duplicates array<string>")
+    for step in (None, 1):
+        assert sorted((r.op_id, r.accepted_op_id) for r in history.deduplicate(df, batches, groups, step).collect()) == [(4, 1), (5, 2), (6, 3), (7, 2), (9, 8)]
+
+
+def test_path_vectors_count_trigrams():
+    paths = [b"/a/img 0012.jpg", b"", b"ab", b"/a/img 0013.jpg", b"x" * 1000]
+    for path, vector in zip(paths, history.path_vectors(paths), strict=True):
+        want = [0] * 16
+        for k in range(len(path) - 2):
+            code = path[k] << 16 | path[k + 1] << 8 | path[k + 2]
+            want[(code * 2654435761 & 0xFFFFFFFF) >> 28] += 1
+        assert vector.tolist() == [min(255, w) for w in want]
+
+
+@pytest.mark.parametrize("block", [50_000, 7])
+def test_near_files_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(history, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(3)
+    names = [f"/v/{rng.integers(4):02d} trip/{rng.choice(['IMG', 'DSC', 'scan'])}_{rng.integers(400):04d}{rng.choice(['', '_edited', '-web'])}.jpg" for _ in range(300)]
+    rows = [*enumerate(names), (300, None), (301, " "), (302, "/quite/another/thing.tif"), (304, names[0].upper()), (None, "/x.jpg"), (306, names[1]), (306, names[1])]
+    df = spark.createDataFrame(rows, "op_id long, source string").withColumns({"kind": F.lit("x"), "distance2": F.lit(1)})
+    spelled = {i: history.normal_path(p).encode() for i, p in rows if i is not None and p and p.strip()}
+    vectors = {i: history.path_vectors([p])[0].astype(int) for i, p in spelled.items()}
+    for radius in (0.0, 5.0):
+        want = {}
+        for i in spelled:
+            near = [(int(((vectors[i] - vectors[j]) ** 2).sum()), j) for j in spelled if j < i and spelled[j] != spelled[i]]
+            if i % 2 == 0 and near and min(near)[0] <= radius * radius:
+                want[i] = min(near)
+        assert {r.op_id: (r.distance2, r.near_op_id) for r in history.near_files(df, radius, 2).collect()} == want
+    assert history.near_files(df.limit(0)).count() == 0
+
+
 def test_empty_history_keeps_its_outermost_signature(spark):
-    # distances from the only centroid, zero, that single precision rounds down and up by more than the slack
+    # distances from the only centroid, zero, that single precision would round down and up
     rounding = lambda h: float(np.float32(d := np.sqrt(sum(int(c, 16) ** 2 for c in h[:16])))) - float(d)
     hashes = [f"{'c' * 15}{a:x}{'01' * 24}" for a in range(16)]
     for h in (min(hashes, key=rounding), max(hashes, key=rounding)):
@@ -103,10 +144,11 @@ def test_an_index_is_opened_again_and_read_by_cell(spark, tmp_path):
         got += pairs(history.deduplicate(df.where(f"batch_id = {b}"), batches(b), groups, folder=folder))
     assert want and sorted(got) == want
     index = history.CellIndex.open(spark, folder)
-    assert index.parts == 4 and len(index.centres) > 1
+    assert index.parts == 4 and len(index.centres[history.HASH]) > 1
     cells = [r[0] for r in index.entries().select("cell").distinct().collect()]
     one = index.entries(cells[:1])
-    assert 0 < one.count() < index.entries().count() and "In(cell" in one._jdf.queryExecution().toString() or "EqualTo(cell" in one._jdf.queryExecution().toString()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert 0 < one.count() < index.entries().count() and "PartitionFilters: [isnotnull" in plan and "cell" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
     assert history.CellIndex.open(spark, str(tmp_path / "none")) is None
 
 
