@@ -55,15 +55,16 @@ _ODD = re.compile(
 )
 _PLAIN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*[.,;:!?…]?")
 _CASES = re.compile(r"[a-z][A-Z].*[a-z0-9][A-Z]")
+_CASE = re.compile("[a-z][A-Z]")
 _STOP = re.compile(r"[.!?…]\s*$")
 _VOWELS = frozenset("aeiouyáàâãäéèêëíìîïóòôõöúùûü")
 _PUNCTUATION = frozenset(".,;:!?'\"()-–—“”‘’„«»…¿¡")
 _NUMBER = re.compile(r"^[\d.,:;/\-+%]+$")
-_PART = re.compile(r"[,;|•·]\s|\n|[.!?…]+\s")
+_PART = re.compile(r"[,;|•·.!?…]\s")
 _EDGE = ".,;:!?…\"'()“”‘’„«»[]"
 _NAMED = re.compile(r"[^\W\d_]{3}")  # an item names something; a row of numbers does not
 _WIDE = re.compile(r"\s{2,}")
-_BARS = ("|", "<", ">", "©", "»", "«")
+_BARS = frozenset(("|", "<", ">", "©", "»", "«"))
 
 #: The statistics, in order. The first ones describe, all but the word count take part in the distance.
 STATS = [
@@ -115,10 +116,17 @@ def _class_of(c: str) -> int:
 #: Classes of the characters of most texts; others are looked up one by one.
 _CLASSES = np.array([_class_of(chr(c)) for c in range(0x2100)], np.uint8)
 _BITS = np.array([[i >> bit & 1 for i in range(64)] for bit in range(6)])
+_LATIN_BITS = _BITS[:, _CLASSES[:256]]
 
 
 def character_counts(text: str) -> tuple[int, int, int, int, int, int]:
     """(letters, Latin letters, vowels, digits, symbols, characters that are no blanks)."""
+    try:  # most texts of one byte a character
+        raw = np.frombuffer(text.encode("latin-1"), np.uint8)
+        *sums, blanks = (_LATIN_BITS @ np.bincount(raw, minlength=256)).tolist()
+        return *sums, len(raw) - blanks
+    except UnicodeEncodeError:
+        pass
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     near = codes < len(_CLASSES)
     all_near = bool(near.all())
@@ -174,6 +182,8 @@ def _table_share(lines: list[str], text: str) -> float:
     grid = sum(bool(re.match(r"^\s*(\+[-=+]{3,}|\|.*\|\s*$)", x)) for x in lines)
     best = max(best, grid / len(lines))
     for mark in ("\t", ";", "|", ","):
+        if mark not in text:
+            continue
         counts = Counter(x.count(mark) for x in lines)
         number, hits = max(((n, h) for n, h in counts.items() if n), key=lambda p: (p[1], p[0]), default=(0, 0))
         rows = [x for x in lines if number and x.count(mark) == number]
@@ -200,29 +210,47 @@ def describe(text: str) -> tuple[str, list[int], list[float]]:
     raw_lines = [x for x in split if x.strip()]
     table = _table_share(raw_lines, text)
     lines = raw_lines if table > 0.5 else [x for x in _unwrap(split) if x.strip()]
-    tokens = text.split()
-    bare = [t.strip(_EDGE) for t in text.lower().split()]
-    counts: Counter[str] = Counter()
-    for t, k in Counter(bare).items():
+    tokens = text.lower().split()
+    # each distinct token is looked at once, and most are plain words, which are nothing else
+    counts: dict[str, int] = {}
+    odd = longest = numbers = hashes = breaks = bars = 0
+    for t, k in Counter(tokens).items():
         if t.isalpha():
-            counts[t] += k
+            counts[t] = counts.get(t, 0) + k
+            longest += k * (len(t) > 30)
+            continue
+        bare = t.strip(_EDGE)
+        if bare.isalpha():
+            counts[bare] = counts.get(bare, 0) + k
         else:
-            for w in _WORD.findall(t):
-                counts[w] += k
-    n, n_tokens, n_lines = counts.total(), max(1, len(tokens)), max(1, len(lines))
+            for w in _WORD.findall(bare):
+                counts[w] = counts.get(w, 0) + k
+        if len(t) <= 30 and (t[:-1] == bare and bare.isalpha() or _PLAIN.fullmatch(t)):
+            continue
+        if t[0] == "#":
+            hashes += k * (len(t) > 1)
+            continue
+        bars += k * (t in _BARS)
+        path = _PATH.match(t) is not None
+        # letters, digits and symbols mixed, unless it is a file name, an email-like mark, a number or a time
+        odd += k * (not path and _ODD.search(t) is not None and not _FILE.match(t.strip("().,;:…[]\"")))
+        longest += k * (len(t) > 30 and not path and not _TAG.search(t))
+        numbers += k * (_NUMBER.match(t) is not None or _HEX.match(t) is not None and any(c.isdigit() for c in t))
+    if _CASE.search(text):
+        breaks = sum(t[0] != "#" and _CASES.search(t) is not None for t in text.split())
+    n, n_tokens, n_lines = sum(counts.values()), max(1, len(tokens)), max(1, len(lines))
     letters, latin, vowels, digits, symbols, chars = character_counts(text)
-    hits, known = [0] * len(_LANGUAGES), []
-    for w, k in counts.items():
-        if w in _COMMON:
-            known.append((w, k))
-            for lang in _COMMON[w]:
-                hits[lang] += k
+    hits = [0] * len(_LANGUAGES)
+    known = [w for w in _COMMON if w in counts]
+    for w in known:
+        for lang in _COMMON[w]:
+            hits[lang] += counts[w]
     best = hits.index(max(hits))
     # too few common words to tell: such a text is measured against the prose of all languages
     lang = _LANGUAGES[best] if hits[best] >= max(2, LEAST_COMMON * n) else ANY
-    foreign = sum(k for w, k in known if best not in _COMMON[w] and len(w) > 1)
+    foreign = sum(counts[w] for w in known if best not in _COMMON[w] and len(w) > 1)
     sentences = len(_SENTENCE.findall(text))
-    part_words = sorted(len(w) for p in _PART.split("\n".join(lines)) if (w := p.split()))
+    part_words = sorted(len(w) for x in lines for p in _PART.split(x) if (w := p.split()))
     items = marks = 0
     for x in lines:
         size = len(x.split())
@@ -231,29 +259,14 @@ def describe(text: str) -> tuple[str, list[int], list[float]]:
         marked = mark is not None and not (size > 6 and _SENTENCE.search(x, mark.end()))
         marks += marked
         items += marked or bool(_PATH.match(x.strip())) or (size <= 10 and len(lines) >= 3 and _NAMED.search(x) is not None and not _SENTENCE.search(x.rstrip(" :")))
-    # each distinct token is looked at once, and most are plain words, which are none of these
-    odd = longest = numbers = hashes = breaks = 0
-    for t, k in Counter(tokens).items():
-        if not t[1:].islower() and t[0] != "#" and _CASES.search(t):
-            breaks += k
-        if len(t) <= 30 and (t.isalpha() or t[:-1].isalpha() and t[-1] in ".,;:!?…" or _PLAIN.fullmatch(t)):
-            continue
-        if t[0] == "#":
-            hashes += k * (len(t) > 1)
-            continue
-        path = _PATH.match(t) is not None
-        # letters, digits and symbols mixed, unless it is a file name, an email-like mark, a number or a time
-        odd += k * (not path and _ODD.search(t) is not None and not _FILE.match(t.strip("().,;:…[]\"")))
-        longest += k * (len(t) > 30 and not path and not _TAG.search(t))
-        numbers += k * (_NUMBER.match(t) is not None or _HEX.match(t) is not None and any(c.isdigit() for c in t))
     few = max(1, n)
-    different = sum(len(set(bare[i : i + WINDOW])) for i in range(0, len(bare), WINDOW))
+    different = sum(len(set(tokens[i : i + WINDOW])) for i in range(0, len(tokens), WINDOW))
     stats = [
         n, sum(len(w) * k for w, k in counts.items()) / few, symbols / max(1, chars), sum(bool(_ENDS.search(x)) for x in lines) / n_lines, hits[best] / few, foreign / few,
         digits / max(1, chars), letters / max(1, chars), vowels / max(1, letters), max(counts.values(), default=0) / few, different / n_tokens,
         math.log1p(n / max(1, sentences)), math.log1p(part_words[len(part_words) // 2] if part_words else 0), math.log((len(part_words) + 1) / (sentences + 1)),
         marks / n_lines, items / n_lines, table, odd / n_tokens, longest / n_tokens, numbers / n_tokens, hashes / n_tokens, latin / max(1, letters), breaks / n_tokens,
-        sum(tokens.count(t) for t in _BARS if t in text) / n_tokens,
+        bars / n_tokens,
     ]
     return lang, [len(raw_lines), sentences, len(part_words)], [float(x) for x in stats]
 
