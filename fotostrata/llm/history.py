@@ -46,7 +46,7 @@ DIMS = 16
 #: Cells of each kind: the square root of the first history's rows over this, and at least so many.
 ROWS_TO_CELLS, LEAST_CELLS = 20, 32
 #: The centroids are fitted on at most so many vectors of each kind; all vectors are indexed.
-FIT_SAMPLE = 50_000
+FIT_SAMPLE = 8_192
 #: Members of a cell that one task compares with the queries at a radius above 0.
 BLOCK_ROWS = 50_000
 #: A brief hash (cut within a byte, or shorter than a vector) has no vector; LACKING is an operation whose hash says nothing.
