@@ -7,11 +7,13 @@ bulk-loaded by sort-tile-recursion are joined top down, candidates are refined
 by the exact geometry, and a pair is reported only in the home leaf of the point
 with the smaller id (its reference point), so none comes twice.
 
-Scale: a leaf that the sample shows to be crowded is spread over several tasks.
-Where one owner (a camera) fills it, that owner's points are spread and the
-others repeated; points of a large owner form a tree of their own that is never
-joined with itself, so a camera that took a third of all pictures from one spot
-costs no candidate pairs.
+Scale: leaves go down to twice the distance. One that is crowded even so is cut
+into blocks of bounded size, and a task joins two of them, whatever the leaf
+holds. Where one owner (a camera) fills it, that owner's blocks meet the others
+only, and points of a large owner form a tree of their own that is never joined
+with itself, so a camera that took a third of all pictures from one spot costs
+no candidate pairs. near_links counts partners without writing any pair of
+copies.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fotostrata.operators.lookup import skewed_lookup
+from fotostrata.session import materialise
+
 EARTH_M = 6_371_000.0
 CAP_LAT = 85.0
 NORTH, SOUTH = -1, -2
@@ -101,7 +106,8 @@ class Quadtree:
     child: np.ndarray  # first of four children, or minus (leaf number + 10)
     depth: int
     leaves: int
-    spread: dict[int, tuple[int, str | None]] = field(default_factory=dict)
+    #: Crowded leaves: blocks of the heavy owner's points, blocks of the others, the heavy owner.
+    spread: dict[int, tuple[int, int, str | None]] = field(default_factory=dict)
 
     def leaf_of(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
         x = np.mod((lon + 180.0) / 360.0, 1.0)
@@ -143,51 +149,57 @@ class Quadtree:
         return out + [NORTH] * int(north > CAP_LAT) + [SOUTH] * int(south < -CAP_LAT)
 
 
-def plan_quadtree(sample: list[tuple[float, float, str | None]], total: int, per_leaf: int, reach_deg: float) -> Quadtree:
-    """Split where the sample stands for more than ``per_leaf`` points, never below twice the reach.
+def _blocks(owners: list[str | None], weight: float, per_leaf: int) -> tuple[int, int, str | None]:
+    """(heavy blocks, other blocks, heavy owner) of a crowded leaf; an owner is heavy with at least half of the sample."""
+    name, most = Counter(owners).most_common(1)[0]
+    each = max(1, per_leaf // 2)
+    if most * 2 < len(owners):
+        return 0, math.ceil(len(owners) * weight / each), None
+    return math.ceil(most * weight / each), max(1, math.ceil((len(owners) - most) * weight / each)), name
 
-    A leaf that cannot be split further is spread over several tasks; if one
-    owner has at least half of its sample, over that owner's points alone.
-    """
-    box = 2 * reach_deg / math.cos(math.radians(CAP_LAT + 2 * reach_deg))
-    deepest = max(0, int(math.floor(math.log2(360.0 / max(box, 1e-9))))) if box < 360 else 0
+
+def plan_quadtree(sample: list[tuple[float, float, str | None]], total: int, per_leaf: int, reach_deg: float) -> Quadtree:
+    """Split where the sample stands for more than ``per_leaf`` points, never below twice the reach at the leaf's latitude."""
     weight = total / max(1, len(sample))
     lat = np.array([s[0] for s in sample], float)
     lon = np.array([s[1] for s in sample], float)
-    child, leaves, spread = [0], 0, {}
-    todo = [(0, 0, np.arange(len(sample)), 0.0, 0.0)]
-    depth = 0
+    owners = [s[2] for s in sample]
+    child, leaves, spread, depth = [0], 0, {}, 0
     caps = np.abs(lat) > CAP_LAT
     for cap, mask in ((NORTH, caps & (lat > 0)), (SOUTH, caps & (lat < 0))):
         if mask.sum() * weight > per_leaf:
-            spread[cap] = (math.ceil(mask.sum() * weight / per_leaf), None)
-    todo[0] = (0, 0, np.flatnonzero(~caps), 0.0, 0.0)
+            spread[cap] = _blocks([owners[i] for i in np.flatnonzero(mask)], weight, per_leaf)
+    todo = [(0, 0, np.flatnonzero(~caps), -90.0)]
     x = np.mod((lon + 180.0) / 360.0, 1.0)
     y = np.clip((lat + 90.0) / 180.0, 0.0, np.nextafter(1.0, 0.0))
     while todo:
-        node, k, members, _, _ = todo.pop()
-        if len(members) * weight <= per_leaf or k >= deepest:
+        node, k, members, south = todo.pop()
+        half = 180.0 / 2 ** (k + 1)  # height of the node's quarters, which are twice as wide
+        farthest = min(max(abs(south), abs(south + 2 * half)), CAP_LAT) + 2 * reach_deg
+        narrow = half < 2 * reach_deg or 2 * half * math.cos(math.radians(farthest)) < 2 * reach_deg
+        if len(members) * weight <= per_leaf or narrow or k >= 40:
             child[node] = -(leaves + 10)
             if len(members) * weight > per_leaf:
-                name, most = Counter(sample[i][2] for i in members).most_common(1)[0]
-                spread[leaves] = (math.ceil(len(members) * weight / per_leaf), name if most * 2 >= len(members) else None)
+                spread[leaves] = _blocks([owners[i] for i in members], weight, per_leaf)
             leaves += 1
             continue
         depth = max(depth, k + 1)
         at = len(child)
         child[node] = at
         child += [0] * 4
-        bit = (np.floor(x[members] * 2.0 ** (k + 1)).astype(int) & 1) + 2 * (np.floor(y[members] * 2.0 ** (k + 1)).astype(int) & 1)
-        todo += [(at + i, k + 1, members[bit == i], 0.0, 0.0) for i in range(4)]
+        bit = (np.floor(x[members] * 2.0 ** (k + 1)).astype(np.int64) & 1) + 2 * (np.floor(y[members] * 2.0 ** (k + 1)).astype(np.int64) & 1)
+        todo += [(at + i, k + 1, members[bit == i], south + (i >> 1) * half) for i in range(4)]
     return Quadtree(np.array(child, np.int64), depth, leaves, spread)
 
 
+def within_range(lat, lon):
+    """Condition: both given and within range."""
+    return lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon) & lat.between(-90, 90) & lon.between(-180, 180)
+
+
 def valid_coordinates(lat, lon):
     """Condition: both given, within range, and not exactly (0, 0)."""
-    return (
-        lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
-        & lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0))
-    )
+    return within_range(lat, lon) & ~((lat == 0) & (lon == 0))
 
 
 def sampled_quadtree(points: DataFrame, rows: int, reach_deg: float, per_leaf: int | None, sample_rows: int) -> Quadtree:
@@ -212,46 +224,66 @@ def _unit(lat, lon):
     return np.stack([np.cos(p) * np.cos(q), np.cos(p) * np.sin(q), np.sin(p)], axis=1)
 
 
-def near_in_leaf(ids, lat, lon, owner, home, probe, leaf: int, within_m: float, large: int = 256):
-    """Pairs (smaller id, larger id) of different owners within the distance.
+def near_in_leaf(ids, lat, lon, owner, home, side, leaf: int, within_m: float, large: int = 256):
+    """Pairs (smaller id, larger id) of different owners within the distance, in the home leaf of the smaller id.
 
-    ``home`` is each point's home leaf. With ``probe`` (a mask, for a leaf spread
-    over tasks) a pair is reported only where its designated point is a probe.
+    ``home`` is each point's home leaf. ``side`` (0 or 1) tells the two blocks of
+    a crowded leaf apart: then only pairs of one point of each are made.
     """
     xyz = _unit(lat, lon)
     pad = 2 * math.sin(min(math.pi, within_m / EARTH_M) / 2) * (1 + 1e-9) + 1e-12
     names, owner_no = np.unique(owner.astype(str), return_inverse=True)
-    counts = np.bincount(owner_no, minlength=len(names))
-    groups = [np.flatnonzero(owner_no == k) for k in np.flatnonzero(counts > large)]
-    rest = np.flatnonzero(counts[owner_no] <= large)
+    groups, whose, sides = [], [], []
+    for block in (None,) if side is None else (0, 1):
+        here = np.arange(len(ids)) if block is None else np.flatnonzero(side == block)
+        counts = np.bincount(owner_no[here], minlength=len(names))
+        found = [(k, here[owner_no[here] == k]) for k in np.flatnonzero(counts > large)] + [(-1, here[counts[owner_no[here]] <= large])]
+        for k, members in found:
+            if len(members):
+                groups.append(members)
+                whose.append(k)
+                sides.append(block)
     trees = [PackedTree(xyz[g] - pad / 2, xyz[g] + pad / 2) for g in groups]
-    jobs = []
-    if len(rest):
-        groups.append(rest)
-        trees.append(PackedTree(xyz[rest] - pad / 2, xyz[rest] + pad / 2))
-        jobs.append((len(groups) - 1, len(groups) - 1))
-    jobs += [(i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))]
     out = []
-    for i, j in jobs:
-        for a, b in tree_join(trees[i], trees[j]):
-            a, b = groups[i][a], groups[j][b]
-            keep = (owner_no[a] != owner_no[b]) & (ids[a] != ids[b])
-            if i == j:
-                keep &= ids[a] < ids[b]
-            a, b = a[keep], b[keep]
-            swap = ids[a] > ids[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            keep = home[a] == leaf
-            if probe is not None:
-                # of a pair with one spread point that point decides, else the smaller id
-                decides = np.where(probe[a] == 2, a, np.where(probe[b] == 2, b, a))
-                keep &= probe[decides] > 0
-            a, b = a[keep], b[keep]
-            keep = haversine_m(lat[a], lon[a], lat[b], lon[b]) <= within_m
-            out.append(np.stack([ids[a[keep]], ids[b[keep]]]))
+    for i in range(len(groups)):
+        for j in range(i, len(groups)):
+            if (sides[i] == sides[j]) if side is not None else False:
+                continue
+            if whose[i] == whose[j] >= 0:
+                continue  # one large owner's own points
+            for a, b in tree_join(trees[i], trees[j]):
+                a, b = groups[i][a], groups[j][b]
+                keep = (owner_no[a] != owner_no[b]) & (ids[a] != ids[b])
+                if i == j:
+                    keep &= ids[a] < ids[b]
+                a, b = a[keep], b[keep]
+                swap = ids[a] > ids[b]
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                keep = home[a] == leaf
+                a, b = a[keep], b[keep]
+                keep = haversine_m(lat[a], lon[a], lat[b], lon[b]) <= within_m
+                out.append(np.stack([ids[a[keep]], ids[b[keep]]]))
     return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
 
 
+#: Blocks of one leaf are numbered below this.
+_MOST_BLOCKS = 1 << 20
+
+
+def block_tasks(ids: np.ndarray, is_heavy: np.ndarray, heavy_blocks: int, other_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, task, side) of each task that a crowded leaf's rows take part in: all pairs of blocks but those of the heavy owner alone."""
+    spot = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+    block = np.where(is_heavy, other_blocks + spot % max(1, heavy_blocks), spot % other_blocks)
+    who, task, side = [], [], []
+    for other in range(other_blocks + heavy_blocks):
+        rows = np.flatnonzero(~is_heavy | (other < other_blocks))
+        low, high = np.minimum(block[rows], other), np.maximum(block[rows], other)
+        who.append(rows)
+        task.append(low * _MOST_BLOCKS + high)
+        side.append((block[rows] == high).astype(np.int64))
+    return np.concatenate(who), np.concatenate(task), np.concatenate(side)
+
+
 def near_pairs(
     points: DataFrame, within_m: float, rows: int | None = None, per_leaf: int | None = None, sample_rows: int = 20_000
 ) -> DataFrame:
@@ -261,7 +293,8 @@ def near_pairs(
     owner, with missing, non-finite or out-of-range coordinates or exactly (0, 0)
     are no location and pair with nothing. Distances equal to the limit count.
     Points at the poles and across the date line meet like any others. An empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored. A task holds two blocks of a
+    leaf at most; a row is copied once for each block it has to meet.
     """
     reach = math.degrees(within_m / EARTH_M) * (1 + 1e-9)
     good = points.select(
@@ -277,42 +310,58 @@ def near_pairs(
                 continue
             home = tree.leaf_of(lat, lon)
             who, leaf = tree.touched(lat, lon, reach)
-            task, role = np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)
-            if tree.spread:
+            task, side = np.full(len(who), -1, np.int64), np.zeros(len(who), np.int64)
+            hot = np.isin(leaf, list(tree.spread))
+            if hot.any():
                 ids, owners = np.asarray(batch.column(0)), np.asarray(batch.column(3).to_pylist(), dtype=object)
-                extra = []
-                for hot, (parts, heavy) in tree.spread.items():
-                    at = np.flatnonzero(leaf == hot)
-                    if not len(at):
-                        continue
-                    own = (ids[who[at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
-                    is_heavy = owners[who[at]] == heavy if heavy is not None else np.zeros(len(at), bool)
-                    task[at], role[at] = own, np.where(is_heavy, 2, 1)
-                    again = at[~is_heavy]
-                    for p in range(1, parts):
-                        extra.append((who[again], leaf[again], (own[~is_heavy] + p) % parts, np.zeros(len(again), np.int64)))
-                if extra:
-                    who, leaf, task, role = (np.concatenate([x, *(e[k] for e in extra)]) for k, x in enumerate((who, leaf, task, role)))
-            took = batch.take(pa.array(who))
-            yield pa.RecordBatch.from_arrays(
-                [*took.columns, pa.array(home[who]), pa.array(leaf), pa.array(task), pa.array(role)],
-                names=["id", "lat", "lon", "owner", "home", "leaf", "task", "role"],
-            )
-
-    spread = {k: v[0] for k, v in tree.spread.items()}
+                pieces = [(who[~hot], leaf[~hot], task[~hot], side[~hot])]
+                for number in np.unique(leaf[hot]).tolist():
+                    heavy_blocks, other_blocks, heavy = tree.spread[number]
+                    mine = who[leaf == number]
+                    is_heavy = owners[mine] == heavy if heavy is not None else np.zeros(len(mine), bool)
+                    rows_in, tasks, sides = block_tasks(ids[mine], is_heavy, heavy_blocks, other_blocks)
+                    pieces.append((mine[rows_in], np.full(len(rows_in), number), tasks, sides))
+                who, leaf, task, side = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            for at in range(0, len(who), 50_000):  # copies leave in pieces of bounded size
+                part = slice(at, at + 50_000)
+                took = batch.take(pa.array(who[part]))
+                yield pa.RecordBatch.from_arrays(
+                    [*took.columns, pa.array(home[who[part]]), pa.array(leaf[part]), pa.array(task[part]), pa.array(side[part])],
+                    names=["id", "lat", "lon", "owner", "home", "leaf", "task", "side"],
+                )
 
     def join(key, rows: pd.DataFrame) -> pd.DataFrame:
-        leaf = int(key[0])
-        probe = rows["role"].to_numpy() if leaf in spread else None
+        task = int(key[1])
+        # a block with itself is joined like a leaf
+        side = rows["side"].to_numpy() if task >= 0 and task // _MOST_BLOCKS != task % _MOST_BLOCKS else None
         found = near_in_leaf(
-            rows["id"].to_numpy(), rows["lat"].to_numpy(), rows["lon"].to_numpy(), rows["owner"].to_numpy(), rows["home"].to_numpy(), probe, leaf, within_m
+            rows["id"].to_numpy(), rows["lat"].to_numpy(), rows["lon"].to_numpy(), rows["owner"].to_numpy(), rows["home"].to_numpy(), side, int(key[0]), within_m
         )
         return pd.DataFrame({"a_id": found[0], "b_id": found[1]})
 
-    routed = good.mapInArrow(route, "id long, lat double, lon double, owner string, home long, leaf long, task long, role long")
+    routed = good.mapInArrow(route, "id long, lat double, lon double, owner string, home long, leaf long, task long, side long")
     return routed.groupBy("leaf", "task").applyInPandas(join, "a_id long, b_id long")
 
 
+def near_links(points: DataFrame, within_m: float, per_leaf: int | None = None) -> DataFrame:
+    """(id, class_id, n_links): each located point with its class and its number of partners in near_pairs.
+
+    A class is what one owner has at exactly one place; its id is the smallest of
+    its points'. Only classes are paired, so a million pictures of two cameras
+    from one spot cost one pair. Input and nulls as for near_pairs.
+    """
+    good = points.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("owner").cast("string").alias("owner"))
+    good = materialise(good.where(F.col("id").isNotNull() & F.col("owner").isNotNull() & valid_coordinates(F.col("lat"), F.col("lon"))), "located")
+    place = ["lat", "lon", "owner"]
+    classes = materialise(good.groupBy(*place).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_points")), "classes")
+    pairs = near_pairs(classes.select(F.col("class_id").alias("id"), *place), within_m, per_leaf=per_leaf)
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a_id").alias("class_id"), F.col("b_id").alias("other")), F.struct(F.col("b_id").alias("class_id"), F.col("a_id").alias("other")))).alias("p")).select("p.*")
+    sizes = classes.select(F.col("class_id").alias("other"), F.col("n_points").alias("n"))
+    links = both.join(sizes, "other").groupBy("class_id").agg(F.sum("n").alias("n_links"))
+    known = classes.join(links, "class_id", "left").select(*place, "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_points")
+    return skewed_lookup(good, known, place, "n_points").select("id", "class_id", "n_links")
+
+
 # ---------------------------------------------------------------- inside
 
 
@@ -371,21 +420,25 @@ def inside_areas(points: DataFrame, areas: DataFrame, rows: int | None = None, p
 
     ``points`` has id, lat, lon; ``areas`` has area_id, wkt (x = longitude). Areas
     go to every leaf their bounding box touches, points to their home leaf alone,
-    so no pair comes twice. Points without a valid location and areas with a null
+    so no pair comes twice. Points without coordinates in range and areas with a null
     id or a shape that cannot be read match nothing; a repeated point or area row
     gives repeated pairs. A point exactly on an edge follows the even-odd rule.
     Empty tables give no rows.
     """
     good = points.select(
         F.col("id").cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.lit("-").alias("owner")
-    ).where(F.col("id").isNotNull() & valid_coordinates(F.col("lat"), F.col("lon")))
+    ).where(F.col("id").isNotNull() & within_range(F.col("lat"), F.col("lon")))
     tree = sampled_quadtree(good, rows if rows is not None else points.count(), 1e-6, per_leaf, sample_rows)
 
+    def parts_of(leaf: int) -> int:
+        heavy, other, _ = tree.spread.get(leaf, (0, 1, None))
+        return heavy + other
+
     def route_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lat, lon = np.asarray(batch.column(1)), np.asarray(batch.column(2))
             leaf = tree.leaf_of(lat, lon) if len(lat) else np.zeros(0, np.int64)
-            parts = np.array([tree.spread.get(int(x), (1, None))[0] for x in leaf], np.int64)
+            parts = np.array([parts_of(int(x)) for x in leaf], np.int64)
             task = np.arange(len(leaf)) % parts if len(leaf) else leaf
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(leaf), pa.array(task)], names=["id", "lat", "lon", "leaf", "task"])
 
@@ -397,7 +450,7 @@ def inside_areas(points: DataFrame, areas: DataFrame, rows: int | None = None, p
                 if polygons:
                     xy = np.concatenate([p[0] for p in polygons])
                     (west, south), (east, north) = xy.min(axis=0), xy.max(axis=0)
-                    got += [(area, wkt, leaf, t) for leaf in tree.covering(south, west, north, east) for t in range(tree.spread.get(leaf, (1, None))[0])]
+                    got += [(area, wkt, leaf, t) for leaf in tree.covering(south, west, north, east) for t in range(parts_of(leaf))]
             yield pd.DataFrame(got, columns=["area_id", "wkt", "leaf", "task"])
 
     def join(here: pd.DataFrame, shapes: pd.DataFrame) -> pd.DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fotostrata.operators.sessions import gap_sessions
-from fotostrata.operators.spatial import inside_areas, near_pairs
+from fotostrata.operators.spatial import inside_areas, near_links, near_pairs
 from fotostrata.operators.timestamps import to_utc
 from fotostrata.session import one_per_id, table
 
@@ -98,15 +98,19 @@ def known(value) -> F.Column:
     return F.explode(F.array_compact(F.array(value)))
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """relation, a_id, b_id: captures of different cameras at most 60 m apart; locations inside areas."""
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, lat, lon, owner of every operation with coordinates and a camera."""
     raw = table(spark, sf_dir, "file_operations")
-    ops = one_per_id(
+    return one_per_id(
         raw.where("camera_id is not null").select("op_id", "camera_id", F.col("coordinates.latitude").alias("lat"), F.col("coordinates.longitude").alias("lon"))
         .where("lat is not null and lon is not null"),
         "op_id", "lat", "lon", "camera_id",
     ).select(F.col("op_id").alias("id"), "lat", "lon", F.col("camera_id").alias("owner"))
-    near = near_pairs(ops, NEAR_M, rows=raw.count())
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """relation, a_id, b_id: captures of different cameras at most 60 m apart; locations inside areas."""
+    near = near_pairs(_captures(spark, sf_dir), NEAR_M, rows=table(spark, sf_dir, "file_operations").count())
     places = table(spark, sf_dir, "reverse_geocoded_locations")
     locations = one_per_id(places, "location_id", "latitude", "longitude").select(
         F.col("location_id").alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")
@@ -118,5 +122,32 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_duration_summary": p3_duration_summary, "p5_found": p5_found, "p6_found": p6_found}
-ORACLES = {"p3_found": P3_FOUND_SQL, "p3_duration_summary": P3_SUMMARY_SQL}
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op_id, class_id, n_links: each located capture with its class (one camera at one place) and how many captures of other cameras lie within 60 m."""
+    return near_links(_captures(spark, sf_dir), NEAR_M).select(F.col("id").alias("op_id"), "class_id", "n_links")
+
+
+_NEAR_SQL = """
+WITH o AS (
+  SELECT op_id, any_value(camera_id) AS camera_id, any_value(coordinates.latitude) AS lat, any_value(coordinates.longitude) AS lon
+  FROM file_operations WHERE camera_id IS NOT NULL AND coordinates.latitude IS NOT NULL AND coordinates.longitude IS NOT NULL GROUP BY op_id),
+g AS (SELECT * FROM o WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0)),
+n AS (
+  SELECT a.op_id AS a_id, b.op_id AS b_id FROM g a JOIN g b ON a.op_id < b.op_id AND a.camera_id <> b.camera_id AND abs(a.lat - b.lat) < 0.001
+  WHERE 2 * 6371000 * asin(sqrt(least(1, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) <= 60)
+"""
+P6_FOUND_SQL = _NEAR_SQL + """,
+l AS (SELECT location_id, any_value(longitude) AS x, any_value(latitude) AS y FROM reverse_geocoded_locations GROUP BY location_id),
+r AS (SELECT area_id, unnest(regexp_extract_all(any_value(shape_wkt), '\(([^()]+)\)', 1)) AS ring FROM geo_areas GROUP BY area_id),
+p AS (SELECT area_id, list_transform(string_split(ring, ','), lambda t: [CAST(string_split(trim(t), ' ')[1] AS DOUBLE), CAST(string_split(trim(t), ' ')[2] AS DOUBLE)]) AS pts FROM r),
+k AS (SELECT area_id, pts, unnest(range(1, len(pts) + 1)) AS i FROM p),
+e AS (SELECT area_id, pts[i][1] AS x1, pts[i][2] AS y1, pts[i % len(pts) + 1][1] AS x2, pts[i % len(pts) + 1][2] AS y2 FROM k),
+c AS (SELECT location_id, area_id FROM l JOIN e ON (y1 > y) <> (y2 > y) WHERE x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+SELECT 'near' AS relation, a_id, b_id FROM n
+UNION ALL SELECT 'inside', location_id, area_id FROM c GROUP BY location_id, area_id HAVING count(*) % 2 = 1"""
+P6_LINKS_SQL = _NEAR_SQL + """,
+b AS (SELECT a_id AS op_id, count(*) AS n FROM (SELECT a_id FROM n UNION ALL SELECT b_id FROM n) GROUP BY a_id)
+SELECT op_id, min(op_id) OVER (PARTITION BY lat, lon, camera_id) AS class_id, coalesce(n, 0) AS n_links FROM g LEFT JOIN b USING (op_id)"""
+
+QUERIES = {"p3_found": p3_found, "p3_duration_summary": p3_duration_summary, "p5_found": p5_found, "p6_found": p6_found, "p6_links": p6_links}
+ORACLES = {"p3_found": P3_FOUND_SQL, "p3_duration_summary": P3_SUMMARY_SQL, "p6_found": P6_FOUND_SQL, "p6_links": P6_LINKS_SQL}

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fotostrata.operators.sessions import bitmap_runs, close_bitmap, gap_sessions
-from fotostrata.operators.spatial import PackedTree, haversine_m, in_area, inside_areas, near_pairs, parse_wkt, plan_quadtree, tree_join
+from fotostrata.operators.spatial import PackedTree, block_tasks, haversine_m, in_area, inside_areas, near_links, near_pairs, parse_wkt, plan_quadtree, tree_join
 from fotostrata.operators.timestamps import to_utc
 
 # ---------------------------------------------------------------- sessions
@@ -147,6 +147,29 @@ def test_near_matches_brute_force(spark, places, per_leaf):
     assert near(spark, places, per_leaf=per_leaf) == brute_near(places, 60.0)
 
 
+@pytest.mark.parametrize(("heavy", "heavy_blocks", "other_blocks"), [(0.0, 0, 7), (0.6, 5, 3), (1.0, 4, 1)])
+def test_blocks_of_a_crowded_leaf_meet_once(heavy, heavy_blocks, other_blocks):
+    ids, is_heavy = np.arange(400) * 3 + 1, np.random.default_rng(2).random(400) < heavy
+    who, task, side = block_tasks(ids, is_heavy, heavy_blocks, other_blocks)
+    assert np.bincount(who, minlength=400).max() <= heavy_blocks + other_blocks
+    met = np.zeros((400, 400), int)
+    for t in np.unique(task):
+        rows, sides = who[task == t], side[task == t]
+        one_block = t // (1 << 20) == t % (1 << 20)
+        cross = np.ones((len(rows), len(rows)), int) if one_block else (sides[:, None] != sides[None]).astype(int)
+        met[np.ix_(rows, rows)] += cross
+    wanted = ~(is_heavy[:, None] & is_heavy[None])
+    assert (met[wanted & ~np.eye(400, dtype=bool)] == 1).all() and (met[is_heavy][:, is_heavy] == 0).all()
+
+
+def test_a_hundred_thousand_captures_on_one_spot(spark):
+    df = spark.range(100_000).select("id", F.lit(10.0).alias("lat"), F.lit(20.0).alias("lon"), F.concat(F.lit("cam"), F.col("id") % 50).alias("owner"))
+    other = spark.createDataFrame([(200_000, 10.0001, 20.0, "cam7"), (200_001, 12.0, 20.0, "cam7"), (200_002, None, 1.0, "x"), (200_003, 0.0, 0.0, "x")], "id long, lat double, lon double, owner string")
+    links = near_links(df.union(other), 60.0, per_leaf=10)
+    got = links.groupBy("class_id", "n_links").agg(F.count("id").alias("n")).collect()
+    assert {(r.class_id, r.n_links, r.n) for r in got} == {*((k, 98_000 if k == 7 else 98_001, 2000) for k in range(50)), (200_000, 98_000, 1), (200_001, 0, 1)}
+
+
 def test_near_edge_cases(spark):
     assert near(spark, []) == set()
     same = [(i, 10.0, 20.0, "one") for i in range(500)] + [(1000, 10.0, 20.0, "two")]
