@@ -1,10 +1,11 @@
 """Encoding a corpus with a public byte-level BPE tokenizer, each distinct word once.
 
-Pre-tokens are exploded with their positions; the distinct ones (counted with
-map-side combining) are encoded once each; the ids are joined back and put
-together by position. Pre-tokens so frequent that their rows would crowd one
-join task are looked up in a broadcast table of bounded size instead, the rest
-in a shuffled join. Decoding joins the token-byte table.
+Pre-tokens are exploded and the distinct ones, counted with map-side combining,
+encoded once each. The most frequent, a table of bounded size, are joined by
+broadcast: a document's ids come out in order where its text lies, without being
+shuffled, and with a note of each place where a rarer pre-token stands. Those
+are exploded with their positions, joined to their ids in a shuffle, and put in
+at their places. Decoding joins the token-byte table.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ import base64
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fotostrata.operators.lookup import skewed_lookup
 from fotostrata.session import materialise
 
 #: Folder of the vocabulary files; a parameter everywhere.
@@ -24,11 +28,8 @@ TOKENIZERS = os.environ.get("FOTOSTRATA_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the tokenizer's own pattern; (?U) gives \s its Unicode meaning in Java.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The broadcast table: at most so many words of at most so many characters (some 10 MB at the very most).
-HOT_WORDS = 20_000
-HOT_CHARS = 64
-#: Bits of an id and of its place within a pre-token; pre-tokens of more ids are put together as lists.
-ID_BITS, SUB_BITS = 20, 12
+#: The broadcast table: so many of the most frequent words, while they and their ids take at most so many bytes; longer words are joined in the shuffle.
+HOT_WORDS, HOT_BYTES, HOT_CHARS = 50_000, 8_000_000, 1_024
 
 _encoders: dict[str, object] = {}
 
@@ -63,20 +64,81 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return words.select("word").mapInArrow(run, "word string, ids array<int>")
 
 
-def _with_ids(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """(doc, pos, ids) of every pre-token of every document."""
+def look_up(words: pa.ListArray, hot: pa.Array, starts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Ids of lists of words by a table: word k of ``hot`` has ids[starts[k] : starts[k + 1]].
+
+    Returns the ids of all lists and where each list's begin; and, for the words
+    not in the table, where each list's begin, the words, and how many ids of
+    their list stand before them.
+    """
+    offsets = words.offsets.to_numpy()
+    flat = words.values.slice(offsets[0], offsets[-1] - offsets[0])
+    offsets = offsets - offsets[0]
+    at = pc.index_in(flat, value_set=hot)
+    missing = at.is_null().to_numpy(zero_copy_only=False)
+    at = at.fill_null(0).to_numpy()
+    sizes = np.where(missing, 0, (starts[1:] - starts[:-1])[at]) if len(hot) else np.zeros(len(at), np.int64)
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    got = ids[np.repeat(starts[at] - before[:-1], sizes) + np.arange(before[-1])] if before[-1] else np.zeros(0, np.int32)
+    rare = np.flatnonzero(missing)
+    rare_offsets = np.searchsorted(rare, offsets)
+    own_start = before[offsets[:-1]].repeat(np.diff(rare_offsets))
+    return got, before[offsets], rare_offsets, flat.take(pa.array(rare)), before[rare] - own_start
+
+
+def _pieces(docs: DataFrame, key: str, text: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, ids, rare) of every document with a text, and (word, ids, n) of the rarer words; rare lists them with the number of ids before them."""
     spark = docs.sparkSession
-    occurrences = docs.select(F.col(key).alias("doc"), F.posexplode(pre_tokens(F.col(text))).alias("pos", "word"))
-    counted = occurrences.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    listed = docs.where(F.col(text) != "").select(F.col(key).alias("doc"), pre_tokens(F.col(text)).alias("words"))
     # written once: the counts feed both tables below, and a lost executor must not cost the shuffle again
-    words = materialise(counted, "words")
-    hot = words.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
-    hot_ids = spark.createDataFrame(encode_words(hot, path).toArrow(), "word string, ids array<int>")  # bounded by HOT_WORDS
-    rest_ids = encode_words(words.join(F.broadcast(hot_ids.select("word")), "word", "left_anti"), path)
-    looked = occurrences.join(F.broadcast(hot_ids.withColumnRenamed("ids", "hot_ids")), "word", "left")
-    frequent = looked.where("hot_ids is not null").select("doc", "pos", F.col("hot_ids").alias("ids"))
-    rare = looked.where("hot_ids is null").select("doc", "pos", "word").join(rest_ids, "word").select("doc", "pos", "ids")
-    return frequent.unionByName(rare)
+    words = materialise(listed.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    first = words.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
+    table = encode_words(first, path).toArrow().combine_chunks()  # bounded by HOT_WORDS and HOT_CHARS
+    room = pc.add(pc.binary_length(table["word"]), pc.multiply(pc.list_value_length(table["ids"]), 4)).to_numpy()
+    table = table.slice(0, int(np.searchsorted(np.cumsum(room), HOT_BYTES, side="right"))).combine_chunks()
+    hot = table["word"].combine_chunks() if table.num_rows else pa.array([], pa.string())
+    lists = table["ids"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))]) if len(lists) else np.zeros(1, np.int64)
+    shared = spark.sparkContext.broadcast((hot, starts, lists.flatten().to_numpy()))
+    hot_words = spark.createDataFrame(pa.table({"word": hot}))
+    rest = words.join(F.broadcast(hot_words), "word", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            got, begins, rare_begins, rare, before = look_up(batch.column(1), *shared.value)
+            notes = pa.StructArray.from_arrays([pa.array(before.astype(np.int32)), rare], names=["at", "word"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(got, pa.int32())), pa.ListArray.from_arrays(pa.array(rare_begins.astype(np.int32)), notes)],
+                names=["doc", "ids", "rare"],
+            )
+
+    pieces = listed.mapInArrow(run, "doc long, ids array<int>, rare array<struct<at:int,word:string>>")
+    return pieces, encode_counted(rest, path)
+
+
+def encode_counted(words: DataFrame, path: str) -> DataFrame:
+    """(word, ids, n) of words with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            ids = [enc._encode_single_piece(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), batch.column(1)], names=["word", "ids", "n"])
+
+    return words.select("word", "n").mapInArrow(run, "word string, ids array<int>, n long")
+
+
+def _put_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, ids) of (doc, ids, more): each list of ``more`` (at, nth, ids) goes in before the id number ``at``."""
+    for batch in batches:
+        out = []
+        for ids, more in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            more.sort(key=lambda m: m["nth"])
+            at = np.repeat([m["at"] for m in more], [len(m["ids"]) for m in more])
+            out.append(np.insert(ids.values.to_numpy(), at.astype(np.int64), np.concatenate([m["ids"] for m in more]).astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc", "ids"])
 
 
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -88,32 +150,25 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
     """
     path = vocabulary or os.path.join(TOKENIZERS, VOCABULARY)
     docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).where(F.col(key).isNotNull())
-    pieces = _with_ids(docs, key, text, path)
-    fits = F.size("ids") <= 1 << SUB_BITS
-    # one number holds where an id stands and which it is, so that putting a text together moves 8 bytes an id
-    at = F.shiftleft(F.shiftleft(F.col("pos").cast("long"), SUB_BITS).bitwiseOR(F.col("sub").cast("long")), ID_BITS).bitwiseOR(F.col("id").cast("long"))
-    none = F.lit(None).cast("struct<pos:int,sub:int,ids:array<int>>")
-    short = pieces.where(fits).select("doc", "pos", F.posexplode("ids").alias("sub", "id")).select("doc", at.alias("key"), none.alias("long_word"))
-    long = pieces.where(~fits).select("doc", F.lit(None).cast("long").alias("key"), F.struct("pos", F.lit(0).alias("sub"), "ids").alias("long_word"))
-    whole = short.unionByName(long).groupBy("doc").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.collect_list("long_word").alias("long_words"))
-    id_of = lambda k: k.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")
-    spread = F.transform(
-        "keys",
-        lambda k: F.struct(
-            F.shiftright(k, ID_BITS + SUB_BITS).cast("int").alias("pos"), F.shiftright(k, ID_BITS).bitwiseAND(F.lit((1 << SUB_BITS) - 1)).cast("int").alias("sub"), F.array(id_of(k)).alias("ids")
-        ),
-    )
-    merged = F.flatten(F.transform(F.array_sort(F.concat(spread, "long_words")), lambda p: p["ids"]))
-    whole = whole.select(F.col("doc").alias(key), F.when(F.size("long_words") == 0, F.transform("keys", id_of)).otherwise(merged).alias("ids"))
+    pieces, rest = _pieces(docs, key, text, path)
+    pieces = materialise(pieces, "pieces")
+    gaps = pieces.where(F.size("rare") > 0)
+    rare = gaps.select("doc", F.posexplode("rare").alias("nth", "r")).select("doc", "nth", "r.at", "r.word")
+    found = skewed_lookup(rare, rest, ["word"], "n").groupBy("doc").agg(F.collect_list(F.struct("at", "nth", "ids")).alias("more"))
+    whole = gaps.select("doc", "ids").join(found, "doc").mapInArrow(_put_in, "doc long, ids array<int>").unionByName(pieces.where(F.size("rare") == 0).select("doc", "ids"))
     bare = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(key, F.array().cast("array<int>").alias("ids"))
-    return whole.unionByName(bare)
+    return whole.select(F.col("doc").alias(key), "ids").unionByName(bare)
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_tokens): how many tokens each document has; 0 for a null or empty text."""
     path = vocabulary or os.path.join(TOKENIZERS, VOCABULARY)
     docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).where(F.col(key).isNotNull())
-    sized = _with_ids(docs, key, text, path).groupBy("doc").agg(F.sum(F.size("ids")).cast("long").alias("n_tokens"))
+    pieces, rest = _pieces(docs, key, text, path)
+    pieces = materialise(pieces.select("doc", F.size("ids").cast("long").alias("n"), F.col("rare.word").alias("rare")), "pieces")
+    rare = pieces.where(F.size("rare") > 0).select("doc", F.explode("rare").alias("word"))
+    more = skewed_lookup(rare, rest, ["word"], "n").select("doc", F.size("ids").cast("long").alias("n"))
+    sized = pieces.select("doc", "n").unionByName(more).groupBy("doc").agg(F.sum("n").alias("n_tokens"))
     bare = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(key, F.lit(0).cast("long").alias("n_tokens"))
     return sized.withColumnRenamed("doc", key).unionByName(bare)
 

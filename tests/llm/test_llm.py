@@ -257,7 +257,9 @@ TEXTS = ["a b", "", None, "  two  spaces \n\n\t x", "it's 漢字 🙂 naïve'll"
 
 
 @needs_vocabulary
-def test_encoding_and_decoding(spark):
+@pytest.mark.parametrize("hot", [50_000, 2, 0])
+def test_encoding_and_decoding(spark, monkeypatch, hot):
+    monkeypatch.setattr(tokens, "HOT_WORDS", hot)
     docs = spark.createDataFrame([*enumerate(TEXTS), (None, "lost")], "doc_id long, text string").withColumns({"word": F.lit(1), "pos": F.lit(2), "ids": F.lit("clash")})
     encoded = tokens.encode_corpus(docs)
     got = {r.doc_id: list(r.ids) for r in encoded.collect()}
