@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fotostrata.functions import dates, gps, paths, text
 from fotostrata.operators import destinations, duplicates, events, location, lookup, naming, reconcile, review, rules
-from fotostrata.session import table
+from fotostrata.session import one_per_id, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -237,6 +237,26 @@ def correction_rules_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_orderkey", *[F.col(f"correction.{k}").alias(k) for k in ("city", "state", "country", "event", "clock_offset", "priority")])
 
 
+@query("""
+WITH r AS (SELECT rule_id, any_value(selector_type) AS kind, any_value(selector) AS s, any_value(camera_make) AS mk, any_value(camera_model) AS md, any_value(city) AS city, any_value(country) AS country, any_value(event_name) AS event,
+  any_value(clock_offset) AS clock_offset, any_value(priority) AS priority FROM correction_rules GROUP BY rule_id),
+q AS (SELECT *, trim(replace(coalesce(s, ''), chr(92), '/')) AS t, trim(trim(replace(coalesce(s, ''), chr(92), '/')), '/') AS b FROM r),
+f AS (SELECT op_id, regexp_replace(any_value(source), '^/', '') AS rel, regexp_extract(any_value(source), '([^/]*)/*$', 1) AS name, lower(trim(any_value(camera_make))) AS mk, lower(trim(any_value(camera_model))) AS md FROM file_operations GROUP BY op_id),
+h AS (SELECT op_id, q.* FROM f JOIN q ON
+  (kind = 'file' AND (rel = b OR name = t)) OR (kind = 'folder' AND (b IN ('', '.') OR starts_with(rel, b || '/'))) OR (kind IN ('glob', 'pattern') AND (rel GLOB t OR name GLOB t))
+  OR (kind = 'camera_make' AND f.mk = lower(trim(coalesce(q.mk, s)))) OR (kind = 'camera_profile' AND (q.mk IS NULL OR f.mk = lower(trim(q.mk))) AND (q.md IS NULL OR f.md = lower(trim(q.md)))))
+SELECT op_id, arg_max(city, rule_id) FILTER (city IS NOT NULL) AS city, arg_max(country, rule_id) FILTER (country IS NOT NULL) AS country, arg_max(event, rule_id) FILTER (event IS NOT NULL) AS event,
+ arg_max(clock_offset, rule_id) FILTER (clock_offset IS NOT NULL) AS clock_offset, arg_max(coalesce(priority, 'metadata'), rule_id) AS priority, count(*) AS n_rules FROM h GROUP BY op_id""")
+def correction_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of correction_rules, in order of rule_id, over every operation; the selectors are paths below the root folder."""
+    given = one_per_id(table(spark, sf_dir, "correction_rules"), "rule_id", "selector_type", "selector", "camera_make", "camera_model", "date_value", "timezone", "clock_offset", "city", "state", "country", "event_name", "priority")
+    given = given.withColumnsRenamed({"date_value": "date", "event_name": "event"})
+    ops = one_per_id(table(spark, sf_dir, "file_operations"), "op_id", "source", "camera_make", "camera_model")
+    files = ops.select("op_id", F.regexp_replace("source", "^/", "").alias("relative"), paths.name(F.col("source")).alias("name"), F.col("camera_make").alias("make"), F.col("camera_model").alias("model"))
+    got = rules.apply_rule_table(files, given, "op_id", "metadata").where("correction is not null")
+    return got.select("op_id", *[F.col(f"correction.{k}").alias(k) for k in ("city", "country", "event", "clock_offset", "priority")], F.size("correction.selectors").cast("long").alias("n_rules"))
+
+
 @query("""
 WITH r AS (SELECT rule_id, any_value(clock_offset) AS c FROM correction_rules GROUP BY rule_id),
 t AS (SELECT rule_id, trim(c, ' ' || chr(9) || chr(10)) AS t FROM r WHERE c IS NOT NULL),

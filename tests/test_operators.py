@@ -185,3 +185,26 @@ def test_streaming_sessions(spark, tmp_path):
     query.stop()
     got = sorted((r.start, r.n_events) for r in spark.table("sessions_out").collect())
     assert got[:2] == [(datetime(2024, 1, 1, 10), 3), (datetime(2024, 1, 1, 10, 45), 1)]
+
+
+def test_a_table_of_rules_says_what_a_list_says(spark):
+    from fotostrata.operators.rules import FIELDS, Rule, apply_rule_table, apply_rules
+
+    listed = [
+        Rule("glob", "*.jpg", city="A", event="e1"), Rule("folder", "x/y/", city="B"), Rule("folder", ".", country="Z"), Rule("file", "b.png", state="S", priority="heuristic"), Rule("path", "x/a.jpg", city="C"),
+        Rule("camera", "canon*", event="cam"), Rule("camera_profile", None, camera_make=" CANON ", camera_model="EOS  ?", timezone="UTC"), Rule("camera_model", "R5*", city="M"), Rule("camera_make", "Nikon", date="2020-01-01", priority="metadata"),
+        Rule("glob", "[ab].*", clock_offset="+1h"), Rule("pattern", "*", state="T"), Rule("glob", "", city="never"),
+    ]
+    files = [(1, "x/a.jpg", "a.jpg", "Canon", "EOS R"), (2, "x/y/b.png", "b.png", None, None), (3, "c.tif", "c.tif", "nikon", "R5 II"), (4, "x/y/z/d.jpg", "d.jpg", " ", ""), (5, None, None, "Canon", None)]
+    df = spark.createDataFrame(files, "id long, relative string, name string, make string, model string").withColumns({"channel": F.lit(1), "key": F.lit("x"), "labels": F.lit(2)})
+    names = ["selector_type", "selector", "camera_make", "camera_model", *FIELDS, "priority"]
+    rows = [(i, *(getattr(r, n) for n in names)) for i, r in enumerate(listed)]
+    table = spark.createDataFrame([*rows, rows[0], (99, "planet", *[None] * (len(names) - 1)), (None, "folder", "", *[None] * (len(names) - 2))], "rule_id long, " + ", ".join(f"{n} string" for n in names))
+    want = {r.id: r.correction for r in apply_rules(df, listed).collect()}
+    got = {r.id: r.correction for r in apply_rule_table(df, table, "id").collect()}
+    assert got.keys() == want.keys()
+    for i in got:
+        a, b = got[i].asDict(), want[i].asDict()
+        a["selectors"], b["selectors"] = sorted(a["selectors"]), sorted(b["selectors"])
+        assert a == b, i
+    assert apply_rule_table(df, table.limit(0), "id").where("correction is not null").count() == 0 and apply_rule_table(df.limit(0), table, "id").count() == 0
