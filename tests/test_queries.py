@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from fotostrata import queries_general, queries_reference
+from fotostrata import queries_general, queries_media, queries_reference
 
 TABLES = os.environ.get("FOTOSTRATA_TESTDATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
@@ -27,7 +27,7 @@ def rows_of(names, rows):
     return sorted((tuple(r[i] for i in order) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", [*queries_reference.ORACLES, *queries_general.ORACLES])
+@pytest.mark.parametrize("name", [*queries_reference.ORACLES, *queries_general.ORACLES, *queries_media.ORACLES])
 def test_against_sql(spark, sql, name):
     got = entry.queries()[name](spark, TABLES)
     cursor = sql.execute(entry.oracle_sql()[name])
@@ -37,7 +37,7 @@ def test_against_sql(spark, sql, name):
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(want_names, want)
 
 
-@pytest.mark.parametrize("name", ["burst_similarity", "conflict_mixed_names", "p5_found", "p6_found"])
+@pytest.mark.parametrize("name", ["burst_similarity", "conflict_mixed_names", "p5_found"])
 def test_runs(spark, name):
     assert entry.queries()[name](spark, TABLES).count() >= 0
 
