@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 FLAGS = ("REVIEW_BURST", "REVIEW_CONFLICT", "REVIEW_DATE", "REVIEW_DUPLICATE", "REVIEW_LOCATION")
 #: Location statuses that ask for a review.
 UNSURE_PLACES = ("missing-gps", "inferred", "unknown-location", "error", "disabled")
+#: The sentences of review reports.
+REASONS = {"REVIEW_DATE": "date is inferred, fallback, or conflicting", "REVIEW_LOCATION": "location status is ", "REVIEW_DUPLICATE": "duplicate file decision needed", "REVIEW_BURST": "burst candidate decision needed", "REVIEW_CONFLICT": "destination conflict"}
 SUGGESTIONS = {
     "REVIEW_DATE": "confirm the capture date or add a correction manifest rule",
     "REVIEW_LOCATION": "confirm GPS/location data or add city/state/country metadata",
@@ -38,11 +40,11 @@ def review_reasons(flags: Column, date_reason: Column, location_status: Column,
             flags,
             lambda f: F.concat(
                 f, F.lit(": "),
-                F.when(f == "REVIEW_DATE", filled(date_reason, "date is inferred, fallback, or conflicting"))
-                .when(f == "REVIEW_LOCATION", F.concat(F.lit("location status is "), filled(location_status, "unknown")))
-                .when(f == "REVIEW_DUPLICATE", F.lit("duplicate file decision needed"))
-                .when(f == "REVIEW_BURST", filled(burst_reason, "burst candidate decision needed"))
-                .otherwise(filled(observations, "destination conflict")),
+                F.when(f == "REVIEW_DATE", filled(date_reason, REASONS["REVIEW_DATE"]))
+                .when(f == "REVIEW_LOCATION", F.concat(F.lit(REASONS["REVIEW_LOCATION"]), filled(location_status, "unknown")))
+                .when(f == "REVIEW_DUPLICATE", F.lit(REASONS["REVIEW_DUPLICATE"]))
+                .when(f == "REVIEW_BURST", filled(burst_reason, REASONS["REVIEW_BURST"]))
+                .otherwise(filled(observations, REASONS["REVIEW_CONFLICT"])),
             ),
         ),
         "; ",

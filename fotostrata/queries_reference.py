@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from fotostrata.functions import dates, gps, paths, text
 from fotostrata.operators import destinations, duplicates, events, location, lookup, naming, reconcile, review, rules
+from fotostrata.plans import execute
 from fotostrata.session import one_per_id, table
+from fotostrata.sources import manifest
 
 QUERIES, ORACLES = {}, {}
 
@@ -197,22 +199,12 @@ def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def burst_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of each camera's captures confirmed by similar names; difflib's ratio has no SQL."""
-    ops = table(spark, sf_dir, "file_operations").where("chosen_date is not null").dropDuplicates(["op_id"])
+    ops = one_per_id(table(spark, sf_dir, "file_operations").where("chosen_date is not null"), "op_id", "camera_id", "source", "chosen_date")
     rows = ops.select("op_id", "camera_id", "source", "chosen_date", paths.stem(F.col("source")).alias("stem"))
     got = events.mark_bursts(rows, "chosen_date", "source", 2, 3, similarity=0.8, entity="camera_id")
     return got.where("burst_group_id is not null").select("op_id", "camera_id", "burst_group_id", "burst_mark", "burst_reason", "burst_group_size")
 
 
-@query("""
-WITH o AS (SELECT op_id, any_value(camera_id) AS camera_id, any_value(config_id) AS config_id, any_value(chosen_date) AS d FROM file_operations GROUP BY op_id)
-SELECT config_id, count(DISTINCT camera_id) AS cameras, count(*) AS ops, strftime(min(d), '%Y-%m-%d %H:%M:%S') AS first_date, strftime(max(d), '%Y-%m-%d %H:%M:%S') AS last_date FROM o GROUP BY config_id""")
-def event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = table(spark, sf_dir, "file_operations").select("op_id", "camera_id", "config_id", "chosen_date").dropDuplicates(["op_id"])
-    return ops.groupBy("config_id").agg(
-        F.count_distinct("camera_id").alias("cameras"), F.count(F.lit(1)).alias("ops"), text_of(F.min("chosen_date")).alias("first_date"), text_of(F.max("chosen_date")).alias("last_date")
-    )
-
-
 # ------------------------------------------------------------------ rules
 
 RULES = [
@@ -266,7 +258,7 @@ SELECT rule_id, coalesce(CAST(CAST(s * CASE WHEN regexp_full_match(t, '[+-]?\\d{
   WHEN CAST(CASE WHEN length(replace(u, ':', '')) <= 2 THEN u ELSE replace(u, ':', '')[:-3] END AS BIGINT) <= 23 AND CAST(CASE WHEN length(replace(u, ':', '')) <= 2 THEN '0' ELSE u[-2:] END AS BIGINT) <= 59
   THEN CAST(CASE WHEN length(replace(u, ':', '')) <= 2 THEN u ELSE replace(u, ':', '')[:-3] END AS BIGINT) * 3600 + CAST(CASE WHEN length(replace(u, ':', '')) <= 2 THEN '0' ELSE u[-2:] END AS BIGINT) * 60 END END AS BIGINT) AS VARCHAR), 'invalid') AS seconds FROM p""")
 def clock_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = table(spark, sf_dir, "correction_rules").where("clock_offset is not null").dropDuplicates(["rule_id"])
+    given = one_per_id(table(spark, sf_dir, "correction_rules").where("clock_offset is not null"), "rule_id", "clock_offset")
     return given.select("rule_id", F.coalesce(dates.clock_offset_seconds(F.col("clock_offset")).cast("string"), F.lit("invalid")).alias("seconds"))
 
 
@@ -354,6 +346,15 @@ def conflict_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.resolve_destinations(_hourly(spark, sf_dir), policy="skip")
 
 
+@query("""
+WITH p AS (SELECT printf('%012d', event_id) AS source, 'out/' || strftime(ts, '%Y-%m-%d_%H') || '.jpg' AS d, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY event_id) AS k FROM events)
+SELECT policy, source, CASE WHEN k = 1 THEN d END AS final_destination FROM p, (VALUES ('overwrite-never'), ('quarantine')) v(policy)""")
+def conflict_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policies that never rename: the first source keeps the name."""
+    one = lambda policy: naming.resolve_destinations(_hourly(spark, sf_dir), policy=policy).select(F.lit(policy).alias("policy"), "source", "final_destination")
+    return one("overwrite-never").unionByName(one("quarantine"))
+
+
 @query()
 def conflict_mixed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Natural names like x_01 among numbered ones: resolved step by step within a family."""
@@ -364,22 +365,28 @@ def conflict_mixed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ journal and joins
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+_DONE_SQL = "(SELECT source FROM journal_entries WHERE status = 'success' AND source <> '')"
+
+
+def _resumed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return execute.split_resumable(one_per_id(table(spark, sf_dir, "file_operations"), "op_id", "source"), table(spark, sf_dir, "journal_entries"))
+
+
+@query(f"SELECT op_id, any_value(source) AS source FROM file_operations WHERE source IS NULL OR source NOT IN {_DONE_SQL} GROUP BY op_id")
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    return orders.join(orders.where("o_orderstatus = 'F'").select("o_custkey"), "o_custkey", "left_anti").select("o_orderkey", "o_orderstatus")
+    """Operations that the journal does not say succeeded."""
+    return _resumed(spark, sf_dir)[0].select("op_id", "source")
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+@query(f"SELECT op_id, any_value(source) AS source FROM file_operations WHERE source IN {_DONE_SQL} GROUP BY op_id")
 def resume_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    return orders.join(orders.where("o_orderstatus = 'F'").select("o_custkey"), "o_custkey", "left_semi").select("o_orderkey", "o_orderstatus")
+    """Operations that a run with this journal leaves out."""
+    return _resumed(spark, sf_dir)[1].select("op_id", "source")
 
 
-@query("""
-SELECT DISTINCT source FROM journal_entries WHERE status = 'success' AND source <> ''""")
+@query(f"SELECT DISTINCT source FROM {_DONE_SQL}")
 def journal_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "journal_entries").where("status = 'success' and source <> ''").select("source").distinct()
+    return manifest.completed_sources(table(spark, sf_dir, "journal_entries"))
 
 
 @query("""
@@ -388,21 +395,13 @@ j AS (SELECT source, arg_max(status, entry_id) AS status FROM journal_entries WH
 SELECT op_id, coalesce(status, 'planned') AS status FROM o LEFT JOIN j USING (source)""")
 def plan_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each operation with the outcome its journal gives last."""
-    ops = table(spark, sf_dir, "file_operations").select("op_id", "source").dropDuplicates(["op_id"])
+    ops = one_per_id(table(spark, sf_dir, "file_operations"), "op_id", "source")
     last = table(spark, sf_dir, "journal_entries").where("source is not null").groupBy("source").agg(F.max_by("status", "entry_id").alias("status"), F.count(F.lit(1)).alias("n"))
     known = lookup.skewed_lookup(ops, last, ["source"], "n")
     rest = ops.join(last.select("source"), "source", "left_anti").select("op_id", F.lit("planned").alias("status"))
     return known.select("op_id", "status").unionByName(rest)
 
 
-@query("SELECT doc_id, d.source, coalesce(camera_make, '') AS camera_make FROM documents d LEFT JOIN (SELECT op_id, min(camera_make) AS camera_make FROM file_operations GROUP BY op_id) f USING (op_id)")
-def sidecar_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the file they belong to, if any."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "op_id")
-    ops = table(spark, sf_dir, "file_operations").groupBy("op_id").agg(F.min("camera_make").alias("camera_make"))
-    return docs.join(ops, "op_id", "left").select("doc_id", "source", F.coalesce("camera_make", F.lit("")).alias("camera_make"))
-
-
 @query("""
 WITH n AS (SELECT n_name, n_regionkey, CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey % 5 = 0 THEN 'odd' ELSE 'even' END AS v FROM nation)
 SELECT a.n_name, CASE WHEN count(DISTINCT b.v) = 1 THEN min(b.v) END AS agreed, CASE WHEN count(b.v) = 1 THEN min(b.v) END AS single
@@ -445,11 +444,11 @@ def location_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n_name", place["city"].alias("city"), place["state"].alias("state"), place["country"].alias("country"))
 
 
-@query("SELECT doc_id, nfc_normalize(text || 'e' || chr(769)) AS value FROM documents WHERE text IS NOT NULL AND NOT contains(text, 'Ã') AND NOT contains(text, 'Â') AND NOT contains(text, 'â€')")
+@query("SELECT doc_id, nfc_normalize(text || 'e' || chr(769)) AS value FROM documents WHERE text IS NOT NULL")
 def nfc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NFC alone, on the documents without marks of misreading, for these SQL can say it; normalized_text has all documents."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").where(~F.col("text").rlike("Ã|Â|â€"))
-    return docs.select("doc_id", text.normalize_text(F.concat("text", F.lit("é")))["value"].alias("value"))
+    """Every document in NFC, without the repair of misread texts; normalized_text has the repair too."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", text.composed_text(F.concat("text", F.lit("e\u0301")))["value"].alias("value"))
 
 
 @query()
@@ -486,15 +485,15 @@ def dms_to_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH f AS (SELECT op_id, any_value(source) AS source FROM file_operations GROUP BY op_id), n AS (SELECT op_id, regexp_extract(source, '([^/]*)/*$', 1) AS name FROM f)
 SELECT op_id, regexp_extract(name, '^.+?(\.[^.]+)$', 1) AS suffix, regexp_replace(name, '^(.+?)(\.[^.]+)$', '\1') AS stem FROM n""")
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = table(spark, sf_dir, "file_operations").select("op_id", "source").dropDuplicates(["op_id"])
+    ops = one_per_id(table(spark, sf_dir, "file_operations"), "op_id", "source")
     return ops.select("op_id", paths.suffix(F.col("source")).alias("suffix"), paths.stem(F.col("source")).alias("stem"))
 
 
 @query(r"""
 WITH f AS (SELECT op_id, lower(any_value(source)) AS s FROM file_operations GROUP BY op_id), n AS (SELECT op_id, regexp_extract(s, '([^/]*)/*$', 1) AS n FROM f)
-SELECT op_id, CASE WHEN regexp_matches(n, '_edit') THEN '*_edit*' WHEN regexp_matches(n, '-edit') THEN '*-edit*' WHEN regexp_matches(n, '_export') THEN '*_export*' WHEN regexp_matches(n, '-export') THEN '*-export*' END AS pattern FROM n""")
+SELECT op_id, CASE WHEN regexp_matches(n, '_edit') THEN '*_edit*' WHEN regexp_matches(n, '-edit') THEN '*-edit*' WHEN regexp_matches(n, '_export') THEN '*_export*' WHEN regexp_matches(n, '-export') THEN '*-export*' WHEN regexp_matches(n, '_derivative') THEN '*_derivative*' WHEN regexp_matches(n, '-derivative') THEN '*-derivative*' WHEN regexp_matches(n, '_derived') THEN '*_derived*' WHEN regexp_matches(n, '-derived') THEN '*-derived*' END AS pattern FROM n""")
 def derivative_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = table(spark, sf_dir, "file_operations").select("op_id", "source").dropDuplicates(["op_id"])
+    ops = one_per_id(table(spark, sf_dir, "file_operations"), "op_id", "source")
     name = paths.name(F.col("source"))
     return ops.select("op_id", text.first_glob([name, paths.stem(F.col("source"))], text.DERIVATIVE_GLOBS).alias("pattern"))
 
@@ -506,7 +505,7 @@ def derivative_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH f AS (SELECT op_id, lower(regexp_extract(regexp_extract(any_value(source), '([^/]*)/*$', 1), '^.+?(\\.[^.]+)$', 1)) AS e FROM file_operations GROUP BY op_id)
 SELECT CASE WHEN e = '' THEN '<none>' ELSE e END AS extension, count(*) AS n_files, CAST(sum(op_id) AS BIGINT) AS total_bytes FROM f GROUP BY 1""")
 def format_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = table(spark, sf_dir, "file_operations").select("op_id", "source").dropDuplicates(["op_id"])
+    ops = one_per_id(table(spark, sf_dir, "file_operations"), "op_id", "source")
     return review.histogram(ops.select(paths.extension(F.col("source")).alias("extension"), F.col("op_id").alias("size")), "extension", "size")
 
 
@@ -517,7 +516,7 @@ def format_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ops(spark, sf_dir) -> DataFrame:
-    ops = table(spark, sf_dir, "file_operations").select("op_id", "date_fallback", "date_kind", "location_status", "coordinates", "camera_make", "camera_model", "location_id").dropDuplicates(["op_id"])
+    ops = one_per_id(table(spark, sf_dir, "file_operations"), "op_id", "date_fallback", "date_kind", "location_status", "coordinates", "camera_make", "camera_model", "location_id")
     return ops
 
 
@@ -575,19 +574,24 @@ n AS (SELECT *, CASE WHEN e IN ('.jpg', '.jpeg') THEN 'JPEG' WHEN e = '.png' THE
 SELECT plain || raw AS format, raw AS raw_format, CASE WHEN e = '.dng' THEN 'Apple ProRAW / Linear DNG' ELSE '' END AS raw_flow, plain || raw <> '' AS supported, count(*) AS n_files FROM n GROUP BY 1, 2, 3, 4""")
 def format_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format, RAW format and flow of every operation's extension, and whether it is supported."""
-    ops = table(spark, sf_dir, "file_operations").select("op_id", "source").dropDuplicates(["op_id"])
+    ops = one_per_id(table(spark, sf_dir, "file_operations"), "op_id", "source")
     e = F.col("ext")
     looked = ops.select(paths.extension(F.col("source")).alias("ext")).select(paths.format_name(e).alias("format"), paths.raw_format(e).alias("raw_format"), paths.raw_flow(e).alias("raw_flow"), paths.is_supported(e).alias("supported"))
     return looked.groupBy("format", "raw_format", "raw_flow", "supported").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @query("""
-WITH l AS (SELECT location_id, any_value(city) AS c, any_value(state) AS s, any_value(country) AS k FROM reverse_geocoded_locations GROUP BY location_id)
-SELECT location_id, concat_ws(', ', nullif(c, ''), nullif(s, ''), nullif(k, '')) AS place FROM l""")
+WITH l AS (SELECT location_id, any_value(city) AS c, any_value(state) AS s, any_value(country) AS k, any_value(latitude) AS lat, any_value(longitude) AS lon FROM reverse_geocoded_locations GROUP BY location_id),
+t AS (SELECT *, concat_ws(', ', CASE WHEN location_id % 4 <> 0 THEN nullif(c, '') END, nullif(s, ''), CASE WHEN location_id % 4 <> 0 THEN nullif(k, '') END) AS place FROM l)
+SELECT location_id, CASE WHEN place <> '' THEN place WHEN lat IS NOT NULL AND lon IS NOT NULL THEN CAST(round(lat) AS BIGINT) || ',' || CAST(round(lon) AS BIGINT) ELSE '' END AS place FROM t""")
 def chosen_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "reverse_geocoded_locations").select("location_id", "city", "state", "country").dropDuplicates(["location_id"])
-    nowhere = F.lit(None).cast("struct<latitude:double,longitude:double>")
-    return rows.select("location_id", location.location_text(F.struct("city", "state", "country"), nowhere).alias("place"))
+    """Places as texts, every fourth without city and country; one without any name is told by its coordinates, here in whole degrees."""
+    rows = one_per_id(table(spark, sf_dir, "reverse_geocoded_locations"), "location_id", "city", "state", "country", "latitude", "longitude")
+    named = F.col("location_id") % 4 != 0
+    place = F.struct(F.when(named, F.col("city")).alias("city"), "state", F.when(named, F.col("country")).alias("country"))
+    whole = lambda c: F.round(c).cast("long").alias(c)
+    at = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.struct(whole("latitude"), whole("longitude")))
+    return rows.select("location_id", location.location_text(place, at).alias("place"))
 
 
 @query("""
@@ -595,7 +599,7 @@ WITH p AS (SELECT prov_id, any_value(source) AS source, any_value(confidence) AS
 SELECT prov_id, CASE WHEN v IS NULL OR v = '' THEN 'missing' WHEN confidence = 'low' OR source IS NULL OR source NOT IN ('EXIF', 'XMP', 'IPTC-IIM', 'PNG metadata', 'Correction manifest') THEN 'inferred-or-fallback' ELSE 'real-metadata' END AS evidence FROM p""")
 def date_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How good the evidence of each provenance row is; low confidence stands for a fallback."""
-    rows = table(spark, sf_dir, "metadata_provenance").select("prov_id", "source", "confidence", "raw_value").dropDuplicates(["prov_id"])
+    rows = one_per_id(table(spark, sf_dir, "metadata_provenance"), "prov_id", "source", "confidence", "raw_value")
     status = F.when(F.coalesce("raw_value", F.lit("")) != "", "resolved").otherwise("missing")
     return rows.select("prov_id", review.date_evidence(status, F.col("source"), F.col("confidence") == "low").alias("evidence"))
 
@@ -606,19 +610,6 @@ def location_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ops(spark, sf_dir).select("op_id", review.location_evidence(status, F.lit(None).cast("string"), F.col("coordinates.latitude")).alias("evidence"))
 
 
-@query("""
-WITH j AS (SELECT entry_id, any_value(status) AS status, any_value(action) AS action, any_value(source) AS source, any_value(destination) AS destination, any_value(error) AS error FROM journal_entries GROUP BY entry_id)
-SELECT entry_id, CASE WHEN status = 'error' THEN 'error' WHEN status = 'skipped' THEN 'skipped' ELSE 'success' END AS status, action, source, destination, 'note ' || entry_id AS observations FROM j
-WHERE action IS NOT NULL AND source IS NOT NULL AND destination IS NOT NULL AND destination <> '' AND status IS NOT NULL AND NOT contains(source, ' -> ') AND NOT contains(source, ' (')""")
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Journal entries with a destination and no brackets, written as log lines with a note and read back; log_lines_all has them all."""
-    rows = table(spark, sf_dir, "journal_entries").dropDuplicates(["entry_id"]).where("action is not null and source is not null and destination <> '' and status is not null and not contains(source, ' -> ') and not contains(source, ' (')")
-    level = F.when(F.col("status") == "error", "ERROR").when(F.col("status") == "skipped", "SKIP").otherwise("INFO")
-    line = F.concat(F.lit("["), level, F.lit("] "), F.col("action"), F.lit(" "), F.col("source"), F.lit(" -> "), F.col("destination"), F.lit(" (note "), F.col("entry_id"), F.lit(")"))
-    read = review.outcome_of_log(line)
-    return rows.select("entry_id", *[read[k].alias(k) for k in ("status", "action", "source", "destination", "observations")])
-
-
 @query("""
 WITH j AS (SELECT entry_id, any_value(status) AS status, any_value(action) AS action, any_value(source) AS source, any_value(destination) AS destination, any_value(error) AS error FROM journal_entries GROUP BY entry_id),
 p AS (SELECT *, source || coalesce(' -> ' || nullif(destination, ''), '') AS path FROM j), a AS (SELECT *, strpos(path, ' -> ') AS arrow FROM p)
@@ -628,7 +619,7 @@ SELECT entry_id, CASE WHEN action IS NULL OR path IS NULL THEN NULL WHEN status
  CASE WHEN action IS NULL OR path IS NULL THEN NULL WHEN status = 'error' THEN coalesce(error, '') WHEN status = 'skipped' THEN 'conflict: destination exists' ELSE '' END AS observations FROM a""")
 def log_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every journal entry written as a run's log line and read back; an entry without action or source has no line."""
-    rows = table(spark, sf_dir, "journal_entries").dropDuplicates(["entry_id"])
+    rows = one_per_id(table(spark, sf_dir, "journal_entries"), "entry_id", "status", "action", "source", "destination", "error")
     level = F.when(F.col("status") == "error", "ERROR").when(F.col("status") == "skipped", "SKIP").otherwise("INFO")
     notes = F.when(F.col("status") == "error", F.concat(F.lit(" (error: "), F.coalesce("error", F.lit("")), F.lit(")"))).when(F.col("status") == "skipped", " (conflict: destination exists)").otherwise("")
     to = F.coalesce(F.concat(F.lit(" -> "), F.nullif("destination", F.lit(""))), F.lit(""))
