@@ -1,4 +1,4 @@
-"""Commands: scan, dedupe, inspect, explain, organize (moves) and import (copies)."""
+"""Commands: scan, dedupe, inspect, explain, audit-metadata, organize (moves) and import (copies)."""
 
 from __future__ import annotations
 
@@ -12,23 +12,24 @@ from pyspark.sql import functions as F
 from fotostrata import __version__
 from fotostrata.operators import duplicates, review
 from fotostrata.plans import execute, inspect, organize, reports
-from fotostrata.session import build_session, purge
+from fotostrata.session import build_session, materialise, purge
 from fotostrata.sources.hashing import hash_files
 from fotostrata.sources.listing import ignored_count, images, list_files
-from fotostrata.sources.manifest import DEFAULTS, ManifestError, Settings, check_settings, load_rules, load_settings, read_journal, settings_from
+from fotostrata.sources.manifest import DEFAULTS, HttpGeocoder, ManifestError, Settings, check_settings, load_rules, load_settings, read_journal, settings_from
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="fotostrata", description="Plan and carry out the organization of media collections with Spark.")
     top.add_argument("--version", action="version", version=__version__)
     top.add_argument("--master", help="Spark master, for example local[8]")
+    top.add_argument("--log-level", default="WARN", choices=("DEBUG", "INFO", "WARN", "ERROR"))
     commands = top.add_subparsers(dest="command", required=True)
-    for name in ("scan", "dedupe", "inspect", "explain", "organize", "import"):
+    for name in ("scan", "dedupe", "inspect", "explain", "audit-metadata", "organize", "import"):
         sub = commands.add_parser(name)
         sub.add_argument("source")
         sub.add_argument("--flat", action="store_true", help="do not look into folders")
         sub.add_argument("--report", help=".json for one document, .csv or a folder name for rows")
-        if name in ("inspect", "explain", "organize", "import"):
+        if name in ("inspect", "explain", "audit-metadata", "organize", "import"):
             sub.add_argument("--config")
             sub.add_argument("--correction-manifest")
             sub.add_argument("--correction-priority")
@@ -37,6 +38,9 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--date-heuristics", action=argparse.BooleanOptionalAction)
         if name in ("organize", "import"):
             sub.add_argument("--review-report")
+            sub.add_argument("--quarantine-dir", help="where files that cannot be planned are copied; default .quarantine in the output")
+            sub.add_argument("--geocoder-url", help="reverse geocoding service that answers JSON with an address")
+            sub.add_argument("--geocoder-timeout", type=float, default=5.0)
             sub.add_argument("--resume", action="store_true", help="leave out what the journal says succeeded")
             sub.add_argument("--by", dest="strategy")
             known = {a.dest for a in sub._actions}
@@ -83,6 +87,7 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     spark = build_session(master=args.master, **{"spark.ui.showConsoleProgress": "false"})
     try:
+        spark.sparkContext.setLogLevel(args.log_level)
         return run(spark, args, settings, rules, priority)
     finally:
         purge(spark)
@@ -96,17 +101,21 @@ def run(spark, args, settings: Settings | None, rules, priority: str) -> int:
         print(f"ignored files: {ignored_count(files).first()[0]}")
         return 0
     if args.command == "dedupe":
-        hashed = hash_files(images(list_files(spark, args.source, deep)))
-        groups = duplicates.duplicate_groups(hashed)
-        groups.show(100, False)
-        save(duplicates.duplicate_summary(hashed), groups, args.report, "groups")
+        hashed = materialise(hash_files(images(list_files(spark, args.source, deep))), "hashed")
+        groups = duplicates.duplicate_groups(hashed, list_up_to=1_000)
+        groups.drop("duplicates").show(100, False)
+        # a document has the groups, rows have every file with its role
+        rows = groups if (args.report or "").endswith(".json") else duplicates.duplicate_members(hashed)
+        save(duplicates.duplicate_summary(hashed), rows, args.report, "groups")
         return 0
-    if args.command in ("inspect", "explain"):
+    if args.command in ("inspect", "explain", "audit-metadata"):
         items = inspect.inspect_files(spark, args.source, settings.reconciliation_policy, settings.date_heuristics, rules, settings.correction_priority or priority, deep)
         inspect.inspect_summary(items).show(truncate=False)
-        save(inspect.inspect_summary(items), inspect.explain_items(items) if args.command == "explain" else items, args.report, "files")
+        rows = {"explain": inspect.explain_items, "audit-metadata": inspect.audit_items}.get(args.command, lambda x: x)(items)
+        save(inspect.inspect_summary(items), rows, args.report, "files")
         return 0
-    plan = organize.plan_organization(spark, args.source, settings, rules, priority, recursive=deep)
+    client = HttpGeocoder(args.geocoder_url, args.geocoder_timeout) if args.geocoder_url else None
+    plan = organize.plan_organization(spark, args.source, settings, rules, priority, client, deep)
     todo, output = plan.operations, settings.output or args.source
     if args.resume and settings.journal:
         todo, skipped = execute.split_resumable(todo, read_journal(spark, settings.journal))
@@ -116,6 +125,11 @@ def run(spark, args, settings: Settings | None, rules, priority: str) -> int:
         outcomes = execute.apply_plan(todo, output, settings.conflict_policy, settings.dry_run, settings.staging_dir)
         if settings.journal:
             execute.write_journal(outcomes, todo, settings.journal, args.command, staging=settings.staging_dir is not None)
+    unplanned = plan.quarantine.count()
+    print(f"files that cannot be planned: {unplanned}")
+    if unplanned and outcomes is not None and not settings.dry_run:
+        held = execute.quarantine_files(plan.quarantine, args.quarantine_dir or os.path.join(output, ".quarantine"))
+        held.groupBy("status").count().show(truncate=False)
     rows = reports.execution_rows(todo, outcomes)
     mode = "plan" if settings.plan_only else "dry-run" if settings.dry_run else "staged" if settings.staging_dir else "execute"
     joined = todo if outcomes is None else todo.join(outcomes.select("source", "status"), "source", "left")

@@ -44,10 +44,10 @@ def _hashed_documents(spark, sf_dir) -> DataFrame:
 WITH h AS (SELECT printf('%012d', doc_id) AS path, sha256(text) AS hash FROM documents WHERE text IS NOT NULL),
 g AS (SELECT hash AS content_hash, list_sort(list(path)) AS paths, count(*) AS n_files FROM h GROUP BY hash HAVING count(*) > 1)
 SELECT row_number() OVER (ORDER BY paths[1], content_hash) AS group_id, content_hash, paths[1] AS original,
-       array_to_string(paths[2:], ';') AS duplicates, n_files FROM g""")
+       CASE WHEN n_files <= 1000 THEN array_to_string(paths[2:], ';') END AS duplicates, n_files FROM g""")
 def dedupe_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identical documents: original, duplicates in order."""
-    return duplicates.duplicate_groups(_hashed_documents(spark, sf_dir)).withColumn("duplicates", F.array_join("duplicates", ";"))
+    """Identical documents: original, and the duplicates in order of groups of up to a thousand."""
+    return duplicates.duplicate_groups(_hashed_documents(spark, sf_dir), list_up_to=1_000).withColumn("duplicates", F.array_join("duplicates", ";"))
 
 
 @query("""

@@ -1,6 +1,7 @@
 """The command line on a temporary folder."""
 
 import json
+import os
 
 import pytest
 
@@ -30,6 +31,10 @@ def test_commands(folder, spark, capsys):
     with open(report) as file:
         found = json.load(file)
     assert found["summary"] == {"n_groups": 1, "n_duplicates": 1, "n_files": 2} and found["groups"][0]["original"].endswith("a.jpg")
+    assert cli.main(["dedupe", root, "--report", str(folder / "members.csv")]) == 0
+    roles = [line.rsplit(",", 1)[1].strip() for name in os.listdir(folder / "members.csv") if name.endswith(".csv") for line in open(folder / "members.csv" / name).readlines()[1:]]
+    assert sorted(roles) == ["duplicate", "original"]
+    assert cli.main(["--log-level", "ERROR", "audit-metadata", root]) == 0
     journal = str(folder / "ops.jsonl")
     arguments = ["import", root, "--output", out, "--journal", journal, "--report", str(folder / "run.json"), "--review-report", str(folder / "review.json")]
     assert cli.main(arguments) == 0
