@@ -61,7 +61,7 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 def _bag(text: str) -> np.ndarray:
-    counts = np.zeros(32, np.int16)
+    counts = np.zeros(32, np.int32)
     for c in text:
         counts[ord(c) % 32] += 1
     return counts
@@ -74,7 +74,7 @@ class CanonicalList:
         self.ids, self.names = [], []
         aliases: dict[str, set[int]] = {}
         whole: dict[str, set[int]] = {}
-        for place, name, code in entries:
+        for place, name, code in sorted(entries, key=lambda e: len(fold(e[1]))):  # by length, so that names of like length stand together
             key = fold(name)
             if not key:
                 continue
@@ -97,8 +97,8 @@ class CanonicalList:
         if aliases:
             self.machine.make_automaton()
         self.any = bool(aliases)
-        self.bags = np.array([_bag(n) for n in self.names]) if self.names else np.zeros((0, 32), np.int16)
-        self.lengths = np.array([len(n) for n in self.names])
+        self.bags = np.array([_bag(n) for n in self.names]) if self.names else np.zeros((0, 32), np.int32)
+        self.lengths = np.array([len(n) for n in self.names], np.int64)
         self.sorted_names = [" ".join(sorted(n.split())) for n in self.names]
 
     def mentions(self, folded: str) -> list[tuple[int, int, int]]:
@@ -116,15 +116,17 @@ class CanonicalList:
     def similar(self, folded: str, share: float, scores: dict[int, float]) -> None:
         """Adds to ``scores`` each name within ``share`` of the value, whatever the order of its tokens."""
         bag, size = _bag(folded), len(folded)
-        apart = self.bags - bag
+        # strings that differ by more than the share in length alone are too far apart
+        low, high = np.searchsorted(self.lengths, [size * (1 - share) - 1e-9, size / (1 - share) + 1e-9], side="left")
+        apart = self.bags[low:high] - bag
         least = np.maximum(np.where(apart > 0, apart, 0).sum(axis=1), np.where(apart < 0, -apart, 0).sum(axis=1))
-        longest = np.maximum(self.lengths, size)
+        longest = np.maximum(self.lengths[low:high], size)
         ordered = " ".join(sorted(folded.split()))
-        for i in np.flatnonzero(least <= share * longest):
-            most = int(share * longest[i])
+        for k in np.flatnonzero(least <= share * longest):
+            i, most = low + k, int(share * longest[k])
             d = min(edit_distance(folded, self.names[i], most), edit_distance(ordered, self.sorted_names[i], most))
             if d <= most:
-                scores[self.ids[i]] = min(scores.get(self.ids[i], 9.0), d / longest[i])
+                scores[self.ids[i]] = min(scores.get(self.ids[i], 9.0), d / longest[k])
 
     def match(self, value: str) -> int:
         """The place a value means, or -1."""

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+#: Items that share a salt, about: the salts of a size grow with the corpus.
+ITEMS_PER_SALT, LEAST_SALTS = 100_000, 16
 
 
 class RoomTree:
@@ -108,12 +109,13 @@ def pack_documents(sizes: DataFrame, capacity: int, key: str = "doc_id", size: s
     if capacity <= 0:
         raise ValueError("capacity must be positive")
     spark = sizes.sparkSession
+    salts = max(LEAST_SALTS, sizes.count() // ITEMS_PER_SALT)
     n = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
     docs = sizes.select(F.col(key).cast("long").alias(key), n.alias("n")).where(F.col(key).isNotNull())
     last = F.greatest(F.expr(f"(n + {capacity} - 1) div {capacity}") - 1, F.lit(0))
     items = docs.select(key, "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
         key, "piece", F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).cast("long").alias("tokens")
-    ).withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(SALTS)).cast("int"))
+    ).withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
     per_salt = items.groupBy("tokens", "salt").agg(F.count(F.lit(1)).alias("here"))
     histogram = {r[0]: r[1] for r in per_salt.groupBy("tokens").agg(F.sum("here")).collect()}  # at most capacity + 1 rows
     segments, _ = pack_histogram(histogram, capacity)

@@ -69,7 +69,7 @@ def p8_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
             continue
         packed = pack_documents(sizes, capacity).select(F.lit(limit_id).cast("long").alias("limit_id"), "doc_id", "piece", "tokens", "sheet")
         out = packed if out is None else out.unionByName(packed)
-    return out
+    return spark.createDataFrame([], "limit_id long, doc_id long, piece long, tokens long, sheet long") if out is None else out
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

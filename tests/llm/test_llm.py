@@ -193,6 +193,25 @@ def test_edit_distance(a, b):
     assert canonical.edit_distance(a, b, 9) == want and (want <= 2) == (canonical.edit_distance(a, b, 2) <= 2)
 
 
+def test_bags_count_very_long_values():
+    assert canonical._bag("a" * 40_000)[1] == 40_000
+
+
+def test_the_filter_loses_no_candidate():
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abc"), rng.integers(3, 9))) for _ in range(60)]
+    names = canonical.CanonicalList([(i, w, None) for i, w in enumerate(words)])
+    for value in ["".join(rng.choice(list("abc"), rng.integers(2, 11))) for _ in range(60)]:
+        got, want = {}, {}
+        names.similar(value, 0.39, got)
+        for i, n in zip(names.ids, names.names, strict=True):
+            longest = max(len(n), len(value))
+            d = canonical.edit_distance(value, n, int(0.39 * longest))
+            if d <= int(0.39 * longest):
+                want[i] = d / longest
+        assert got == want
+
+
 def test_mapping_table(spark):
     places = spark.createDataFrame(PLACES, "kind string, place_id long, name string, code string")
     rows = [("city", 1, "sembort"), ("city", 2, "Sémbort"), ("city", 3, " \u00a0"), ("city", 4, None), ("city", 5, "sembort"), ("city", 5, "sembort"), (None, 6, "x"), ("planet", 7, "Mars")]
