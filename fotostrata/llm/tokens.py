@@ -90,8 +90,9 @@ def _pieces(docs: DataFrame, key: str, text: str, path: str) -> tuple[DataFrame,
     """(doc, ids, rare) of every document with a text, and (word, ids, n) of the rarer words; rare lists them with the number of ids before them."""
     spark = docs.sparkSession
     listed = docs.where(F.col(text) != "").select(F.col(key).alias("doc"), pre_tokens(F.col(text)).alias("words"))
+    # exploded without a name in between, for which a filter would be inferred that splits the text twice more
     # written once: the counts feed both tables below, and a lost executor must not cost the shuffle again
-    words = materialise(listed.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    words = materialise(docs.select(F.explode(pre_tokens(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
     first = words.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
     table = encode_words(first, path).toArrow().combine_chunks()  # bounded by HOT_WORDS and HOT_CHARS
     room = pc.add(pc.binary_length(table["word"]), pc.multiply(pc.list_value_length(table["ids"]), 4)).to_numpy()
