@@ -136,7 +136,7 @@ n AS (
   SELECT a.op_id AS a_id, b.op_id AS b_id FROM g a JOIN g b ON a.op_id < b.op_id AND a.camera_id <> b.camera_id AND abs(a.lat - b.lat) < 0.001
   WHERE 2 * 6371000 * asin(sqrt(least(1, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) <= 60)
 """
-P6_FOUND_SQL = _NEAR_SQL + """,
+P6_FOUND_SQL = _NEAR_SQL + r""",
 l AS (SELECT location_id, any_value(longitude) AS x, any_value(latitude) AS y FROM reverse_geocoded_locations GROUP BY location_id),
 r AS (SELECT area_id, unnest(regexp_extract_all(any_value(shape_wkt), '\(([^()]+)\)', 1)) AS ring FROM geo_areas GROUP BY area_id),
 p AS (SELECT area_id, list_transform(string_split(ring, ','), lambda t: [CAST(string_split(trim(t), ' ')[1] AS DOUBLE), CAST(string_split(trim(t), ' ')[2] AS DOUBLE)]) AS pts FROM r),
