@@ -18,11 +18,13 @@ RAW_FLOWS = {".dng": "Apple ProRAW / Linear DNG"}
 
 
 def name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)/*$", 1)
+    # the expression tries every position, so only paths that end in a slash need it
+    return F.when(path.endswith("/"), F.regexp_extract(path, r"([^/]*)/*$", 1)).otherwise(F.substring_index(path, "/", -1))
 
 
 def parent(path: Column) -> Column:
-    return F.regexp_extract(path, r"^(.*?)/+[^/]*/*$", 1)
+    before = F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)))
+    return F.when(path.endswith("/"), F.regexp_extract(path, r"^(.*?)/+[^/]*/*$", 1)).otherwise(F.rtrim(before, F.lit("/")))
 
 
 def suffix(path: Column) -> Column:

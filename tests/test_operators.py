@@ -208,3 +208,9 @@ def test_a_table_of_rules_says_what_a_list_says(spark):
         a["selectors"], b["selectors"] = sorted(a["selectors"]), sorted(b["selectors"])
         assert a == b, i
     assert apply_rule_table(df, table.limit(0), "id").where("correction is not null").count() == 0 and apply_rule_table(df.limit(0), table, "id").count() == 0
+
+
+def test_parts_of_odd_paths(spark):
+    odd = {"/a/b/c.jpg": ("/a/b", "c.jpg"), "/a//b": ("/a", "b"), "//a": ("", "a"), "a/": ("a", "a"), "/a/b//": ("/a", "b"), "x": ("", "x"), "": ("", ""), "/": ("", ""), "/a\nb/c.jpg": ("/a\nb", "c.jpg")}
+    df = spark.createDataFrame([(p,) for p in odd], "p string")
+    assert {r.p: (r.parent, r.name) for r in df.select("p", paths.parent(F.col("p")).alias("parent"), paths.name(F.col("p")).alias("name")).collect()} == odd
