@@ -1,6 +1,8 @@
 """Reference operators on small fixtures: naming, reconciliation, events, bursts, rules, places, review, streaming."""
 
 import itertools
+import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -51,6 +53,25 @@ def test_destinations(spark):
     assert naming.resolve_destinations(plan.limit(0), there).count() == 0
 
 
+@pytest.mark.parametrize("policy", ["suffix", "skip"])
+@pytest.mark.parametrize("existing", [True, False])
+def test_families_are_resolved_in_one_stream(spark, policy, existing):
+    rng = random.Random(7)
+    names = [f"{rng.choice('abc')}{rng.choice(['', '_01', '_02'])}.{rng.choice(['jpg', 'cr2', 'xmp'])}" for _ in range(400)]
+    rows = [(f"/in/{k:04d}.x", f"/out/{k % 60}/{name}", [f"/in/{k:04d}.xmp"] if name.endswith("cr2") else []) for k, name in enumerate(names)]
+    there = [(f"/out/{k}/{rng.choice('abc')}.jpg",) for k in range(0, 80, 3)] if existing else []
+    plan = spark.createDataFrame(rows, "source string, destination string, related_sidecars array<string>").repartition(5)
+    got = naming.resolve_destinations(plan, spark.createDataFrame(there, "path string") if existing else None, policy, sidecars="related_sidecars")
+    expected = {}
+    for folder in {os.path.dirname(d) for _, d, _ in rows}:
+        taken = {os.path.basename(p) for (p,) in there if os.path.dirname(p) == folder}
+        here = [(s, os.path.basename(d), [".xmp"] * len(x)) for s, d, x in rows if os.path.dirname(d) == folder]
+        expected |= {s: n and f"{folder}/{n}" for s, n in naming.resolve_family(here, taken, policy)}
+    assert {r.source: r.final_destination for r in got.collect()} == expected
+    # a pandas frame for every family takes milliseconds each
+    assert "FlatMap" not in got._jdf.queryExecution().toString()
+
+
 def test_reconcile(spark):
     day = lambda d: datetime(2024, 1, d)
     schema = "path string, seq int, value timestamp_ntz, source string, field string, confidence string, raw_value string, role string, precedence int, used_fallback boolean, date_kind string"
