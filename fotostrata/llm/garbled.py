@@ -7,8 +7,9 @@ shortens stays as it is. A stretch in which bytes are gone for good (replacement
 characters, or sequences that lost their control characters) cannot be restored
 and makes the record's restored text empty.
 
-The dictionaries are made of the data's own clean texts, at most ``PER_LANGUAGE``
-distinct ones of each language, chosen by hash.
+The dictionaries are the words and pairs of neighbouring words of all the data's
+own clean texts, by how many texts have them; the letters of a language are
+counted over all of them too.
 """
 
 from __future__ import annotations
@@ -19,18 +20,16 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fotostrata.operators.lookup import skewed_lookup
 from fotostrata.session import materialise
 
-#: Bounds of the sample the dictionaries are made of.
-PER_LANGUAGE = 400
-SAMPLE_CHARS = 200
 #: Bytes that each step of a chain costs. Texts are measured in UTF-16, where no script is dearer than another.
 UTF8_COST, TABLE_COST, ENTITY_COST = 1, 3, 1
 #: Bytes for a symbol or control character inside a word, and for a letter that no language of the data uses.
@@ -47,6 +46,7 @@ TABLE_PAIRS = [
 ]
 _WRAP = re.compile(r'^(\s*\[\s*"|\s*\{\s*"[^"]*"\s*:\s*"|lang="[^"]*"\s+|)(.*?)("\s*[\]}]\s*|)$', re.S)
 _PARTS = re.compile(r"(; | \| | / )")
+_WORD = re.compile(r"[^\W\d_]+")
 _ENTITY = re.compile(r"&#\d{2,7};|&#x[0-9a-fA-F]{2,6};")
 
 
@@ -157,7 +157,7 @@ def odd_symbols(text: str) -> int:
 
 
 def suspicious(text: str) -> bool:
-    """Whether a text is no fit sample of its language: some chain may apply to it."""
+    """Whether a text is no fit example of its language: some chain may apply to it."""
     if "�" in text or _ENTITY.search(text):
         return True
     return not text.isascii() and (
@@ -168,17 +168,24 @@ def suspicious(text: str) -> bool:
 
 
 class Restorer:
-    """Restores stretches with the dictionaries ``texts``: language to clean texts."""
+    """Restores stretches with the dictionaries ``texts``: language to clean texts or phrases, the most frequent last.
 
-    def __init__(self, texts: dict[str, list[str]]):
+    ``letters`` of each language are those that more than one of its texts has;
+    without them they are counted in ``texts``.
+    """
+
+    def __init__(self, texts: dict[str, list[str]], letters: dict[str, set[str]] | None = None):
         self.coders, self.alphabets = [], []
         for lang in sorted(texts):
             raw = "\n".join(texts[lang]).encode("utf-16-le", "replace")
             if len(raw) >= 16:
                 book = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.coders.append(zstandard.ZstdCompressor(level=12, dict_data=book, write_content_size=False, write_checksum=False, write_dict_id=False))
-                seen = Counter(c for t in texts[lang] for c in set(t) if ord(c) > 127 and c.isalpha())
-                self.alphabets.append({c for c, n in seen.items() if n > 1})
+                if letters is None:
+                    seen = Counter(c for t in texts[lang] for c in set(t) if ord(c) > 127 and c.isalpha())
+                    self.alphabets.append({c for c, n in seen.items() if n > 1})
+                else:
+                    self.alphabets.append(letters.get(lang, set()))
         if not self.coders:
             self.coders.append(zstandard.ZstdCompressor(level=12, write_content_size=False, write_checksum=False))
         self.known = set().union(*self.alphabets) if self.alphabets else None
@@ -257,14 +264,22 @@ class Restorer:
         return before + "".join(p if d is None else d for p, d in zip(parts, done, strict=True)) + after
 
 
-def dictionary_texts(values: DataFrame) -> dict[str, list[str]]:
-    """Clean texts of each language among ``values`` (value), the bounded sample the dictionaries are made of.
+def phrases_of(text: str) -> set[str]:
+    """The words of a text, and every two of them that follow each other with what stands between."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    return {text[i:j] for i, j in spans} | {text[i:j] for (i, _), (_, j) in pairwise(spans)}
+
 
-    At most PER_LANGUAGE distinct texts of at most SAMPLE_CHARS characters each,
-    the first by hash, so that the sample is the same for the same data.
+def language_models(values: DataFrame) -> tuple[dict[str, list[str]], dict[str, set[str]]]:
+    """(phrases, letters) of each language, counted over all distinct clean texts among ``values`` (value), of any length.
+
+    Phrases come in order of how many texts have them, the most frequent last,
+    where a dictionary is cheapest to refer to; letters are those beyond ASCII
+    that more than one text has. Only the counts reach the driver: they grow
+    with the vocabulary, not with the rows.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], []]
             for value in batch.column(0).to_pylist():
@@ -274,14 +289,27 @@ def dictionary_texts(values: DataFrame) -> dict[str, list[str]]:
                     out[1].append(inner)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["lang", "text"])
 
-    short = values.where(F.length("value").between(3, SAMPLE_CHARS)).select("value").distinct()
-    clean = short.mapInArrow(run, "lang string, text string").distinct()
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    rows = clean.withColumn("n", F.row_number().over(first)).where(F.col("n") <= PER_LANGUAGE).select("lang", "text").collect()
-    texts: dict[str, list[str]] = {}
-    for lang, text in sorted(map(tuple, rows)):
-        texts.setdefault(lang, []).append(text)
-    return texts
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.update((lang, False, p) for p in phrases_of(text))
+                seen.update((lang, True, c) for c in set(text) if ord(c) > 127 and c.isalpha())
+            columns = list(zip(*[(*key, n) for key, n in seen.items()], strict=True)) or [[], [], [], []]
+            kinds = (pa.string(), pa.bool_(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["lang", "letter", "item", "n"])
+
+    distinct = values.where(F.length("value") >= 3).select("value").distinct()
+    texts = distinct.mapInArrow(clean, "lang string, text string").distinct()
+    counts = texts.mapInArrow(count, "lang string, letter boolean, item string, n long").groupBy("lang", "letter", "item").agg(F.sum("n").alias("n"))
+    phrases: dict[str, list[str]] = {}
+    letters: dict[str, set[str]] = {}
+    for lang, letter, item, n in sorted(map(tuple, counts.where("n > 1 or not letter").collect()), key=lambda r: (r[3], r[2])):
+        if letter:
+            letters.setdefault(lang, set()).add(item)
+        else:
+            phrases.setdefault(lang, []).append(item)
+    return phrases, letters
 
 
 def restore_garbled(values: DataFrame) -> DataFrame:
@@ -295,14 +323,14 @@ def restore_garbled(values: DataFrame) -> DataFrame:
     """
     spark = values.sparkSession
     given = values.select("source_table", "record_id", "value").where(F.col("value").isNotNull() & (F.col("value") != ""))
-    shared = spark.sparkContext.broadcast(dictionary_texts(given))
+    shared = spark.sparkContext.broadcast(language_models(given))
     odd = given.where(F.col("value").rlike(r"[^\x00-\x7f]|&#"))
     distinct = odd.groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = None
         for batch in batches:
-            restorer = restorer or Restorer(shared.value)
+            restorer = restorer or Restorer(*shared.value)
             got = [restorer.restore(v) for v in batch.column(0).to_pylist()]
             keep = pa.array([i for i, g in enumerate(got) if g is not None], pa.int64())
             found = pa.array([g for g in got if g is not None], pa.string())

@@ -270,6 +270,17 @@ def test_restore_table(spark):
     assert garbled.restore_garbled(df.limit(0)).count() == 0
 
 
+def test_models_are_counted_over_all_clean_texts(spark):
+    many = [f"Straßenfest bei Köln Nr. {k}" for k in range(3000)] + ["Ünder łubin bei Köln", "Öffnung łubin bei Köln", "Schöne Grüße an Noël", "Öffnung am Fluß", "Große " + "Öffnung für den Frühling " * 20]
+    df = spark.createDataFrame([("t", k, v) for k, v in enumerate(many)] + [("u", 0, "Straßenfest bei Köln Nr. 1")], "source_table string, record_id long, value string")
+    phrases, letters = garbled.language_models(df.repartition(4))
+    assert {"bei", "Köln", "bei Köln", "Straßenfest bei"} <= set(phrases["de"][-8:])
+    assert {"Schöne Grüße", "an Noël", "Frühling Öffnung", "Große"} <= set(phrases["de"])
+    assert {"ß", "ö", "ü", "Ö"} <= letters["de"] and "ë" not in letters["de"]  # Ö stands in two texts of 3,003, ë in one
+    assert letters["pl"] == {"ł", "ö"} and "łubin bei" in phrases["pl"]
+    assert garbled.language_models(df.limit(0)) == ({}, {})
+
+
 # ---------------------------------------------------------------- 7: tokens
 
 TEXTS = ["a b", "", None, "  two  spaces \n\n\t x", "it's 漢字 🙂 naïve'll", "x" + "qzxjvkwy" * 4000 + " end", "<|endoftext|>", "\u00a0\u2003 \u0085", "a" * 70_000]
