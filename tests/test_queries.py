@@ -1,13 +1,14 @@
 """Every query with SQL gives what the SQL gives, on the smallest tables."""
 
 import os
+import threading
 import unicodedata
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from fotostrata import queries_general, queries_media, queries_reference
+from fotostrata import queries_general, queries_media, queries_reference, session
 
 TABLES = os.environ.get("FOTOSTRATA_TESTDATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
@@ -78,3 +79,32 @@ def test_normalized_text_against_brute_force(spark, sql):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["camera_id", "start_us", "end_us", "duration_us", "n_ops"]
+
+
+def test_media_run_has_the_files_of_a_few_operations_at_once(spark, sql, monkeypatch):
+    root = session.new_folder(spark, "x").rpartition("/")[0].removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    most, over = [0], threading.Event()
+
+    def on_disk():
+        new = [name for name in (os.listdir(root) if os.path.isdir(root) else []) if name not in before and name.startswith(("media-", "organized-", "staging-"))]
+        return sum("part-" not in file and "_SUCCESS" not in file for name in new for _, _, files in os.walk(os.path.join(root, name)) for file in files)
+
+    def watch():
+        while not over.wait(0.002):
+            most[0] = max(most[0], on_disk())
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        monkeypatch.setattr(queries_media, "TURN", 7, raising=False)
+        got = queries_media.media_run(spark, TABLES)
+        rows = rows_of(got.columns, [tuple(r) for r in got.collect()])
+    finally:
+        over.set()
+        watcher.join()
+    cursor = sql.execute(entry.oracle_sql()["media_run"])
+    names = [d[0] for d in cursor.description]
+    assert rows == rows_of(names, cursor.fetchall()) and len(rows) > 300
+    # four tasks, three files of an operation and as many copies, and a partial name beside a copy
+    assert 0 < most[0] <= 4 * 7 * 6 < len(rows) and on_disk() == 0
